@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than 1/HOT_SHARE of the rows is hot; there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 512
+HOT_SHARE = 4096
 #: Largest number of integer ids that may be broadcast (8 bytes each, about 40 MB as a hash relation).
 BROADCAST_IDS = 500_000
 
