@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, chat, quality, urls
+from quizloom.llm import bpe, chat, exact, quality, shards, urls
 from quizloom.session import read_table
 
 
@@ -17,6 +17,20 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(read_table(spark, sf_dir, "documents"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -68,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
+    return {"op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
