@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, chat, exact, quality, shards, urls
+from quizloom.llm import bpe, chat, curriculum, exact, quality, shards, urls
 from quizloom.session import read_table
 
 
@@ -21,6 +21,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -82,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
+    return {"op3_curriculum_mix": curriculum.MIX_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
