@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, chat, curriculum, exact, quality, shards, urls
+from quizloom.llm import bpe, chat, curriculum, exact, quality, shards, toxicity, urls
 from quizloom.session import read_table
 
 
@@ -25,6 +25,10 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(read_table(spark, sf_dir, "documents"))
 
