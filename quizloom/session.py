@@ -53,17 +53,14 @@ def look_up(left: DataFrame, groups: DataFrame, key: str, count: str, values: li
     """left with groups' values by key, where groups has one row a key and the key's number of left rows in count.
 
     Keys with more than total / HOT_SHARE rows are fewer than HOT_SHARE, so they are broadcast whatever the input's
-    size, and their rows go to the shuffled join under scattered keys that meet nothing. The key must be a long or null;
-    rows with a null key get nulls.
+    size, and their rows go to the shuffled join scattered and without a key. Rows with a null key get nulls.
     """
     line = max(1, total // HOT_SHARE)
-    hot = groups.where(F.col(count) > line).select(F.col(key), *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
-    cold = groups.where(F.col(count) <= line).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), *values)
+    hot = groups.where(F.col(count) > line).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
+    cold = groups.where(F.col(count) <= line).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     out = left.join(F.broadcast(hot), key, "left")
     scattered = F.coalesce(F.col("_hot"), F.col(key).isNull())
     out = out.withColumn("_part", F.when(scattered, F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(9973)).cast("int")).otherwise(F.lit(0)))
-    out = out.withColumn("_join_key", F.when(scattered, F.lit(None).cast("long")).otherwise(F.col(key)))
-    out = out.withColumn("_join_key", F.coalesce("_join_key", F.col("_part").cast("long")))
+    out = out.withColumn("_join_key", F.when(~scattered, F.col(key)))
     out = out.join(cold, (F.col("_join_key") == F.col("_cold_key")) & (F.col("_part") == F.col("_cold_part")), "left")
-    found = [F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
-    return out.select(*left.columns, *found)
+    return out.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values])
