@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, chat, curriculum, exact, quality, shards, toxicity, urls
+from quizloom.llm import bpe, chat, curriculum, exact, near, quality, shards, toxicity, urls
 from quizloom.session import read_table
 
 
@@ -17,6 +17,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.components(read_table(spark, sf_dir, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read_table(spark, sf_dir, "documents"))
 
@@ -90,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_curriculum_mix": curriculum.MIX_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
+    return {"op1_near_dedup": near.NEAR_SQL, "op3_curriculum_mix": curriculum.MIX_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql()}
