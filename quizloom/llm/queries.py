@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, chat, curriculum, exact, near, quality, shards, toxicity, urls
+from quizloom.llm import bpe, chat, curriculum, exact, media, near, quality, shards, toxicity, urls
 from quizloom.session import read_table
 
 
@@ -43,6 +43,10 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY t)"""
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
