@@ -5,14 +5,14 @@ times its size, and what is over goes to the others by weight (the level is foun
 Taking: a source's documents stand in an order fixed by a digest of doc_id. Its target is so many whole passes and a part
 of one; each document is taken once a pass, and in the last pass up to the word at which the target is met.
 Positions: each source's weight over training time t in [0, 1] is a straight line around its target (SLOPES, repeating), so
-its cumulative demand is target * (t + slope * (t * t - t)). A document's position is where that demand, inverted, meets the
-middle of the words its source has given before and with it. The result is range-sorted by position.
+its cumulative demand is target * (t + slope * (t * t - t)). A take's position is where that demand, inverted, meets the middle
+of the words its source has given before and with it. The result is range-sorted by position.
 
 Scale: a running sum over a source would put a third of all rows into one task. Each source is dealt into BUCKETS ranges of
 the digest; sums of the ranges are added up (BUCKETS rows a source), and within a range the running sum is exact. Ranges
 get finer with the session's shuffle partitions.
 
-Contract of the cases: a null or wordless text has size 0, is taken 0 times and stands where its source's order puts it; a
+Contract of the cases: a null or wordless text has size 0 and is taken 0 times; what is not taken has no position; a
 null source is a source; rows that share a doc_id are ordered by size and digest of the text, so reruns agree; very long
 texts count whole; an empty table gives an empty one; other columns are not read.
 """
@@ -57,7 +57,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position for every row of docs, in range-sorted order of position."""
+    """mix_rows, range-sorted by position."""
+    return mix_rows(docs).drop("goal", "before", "slope", "tie").orderBy("position", "doc_id")
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position (of the first take) and their terms for every row of docs."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"))
     rows = cut(rows.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS)))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
@@ -75,14 +80,34 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = placed.withColumns({"before": before, "goal": goal, "passes": passes})
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("passes") * F.col("source_size") - F.col("before")))
     placed = placed.withColumn("taken", (F.col("passes") * F.col("size") + rest).cast("long"))
-    # the share of the source's demand that is met by the middle of this document
-    share = F.when(F.col("source_size") > 0, (F.col("before") + F.col("size") / 2) / F.col("source_size")).otherwise(F.lit(0.0))
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.col("place") % len(SLOPES) + 1).cast("int"))
-    # slope * t * t + (1 - slope) * t = share, for t from 0 to 1
+    placed = placed.withColumn("slope", slope)
+    given = F.when(F.col("taken") > 0, F.col("before") + F.col("size") / 2)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", position_of(given).alias("position"), "goal", "before", "slope", "tie")
+
+
+def position_of(given: Column) -> Column:
+    """The t at which a source has given so many of its goal's words: slope * t * t + (1 - slope) * t = given / goal."""
+    slope = F.col("slope")
+    share = F.least(F.lit(1.0), given / F.col("goal"))
     root = (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope)
-    position = F.when(slope == 0, share).otherwise(root)
-    out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", position.alias("position"))
-    return out.orderBy("position", "doc_id")
+    return F.when(given.isNull(), F.lit(None).cast("double")).when(slope == 0, share).otherwise(root)
+
+
+def sequence(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs, each row as often as the mix takes it, range-sorted by the positions of the takes.
+
+    A part of half a document or more counts as a whole one. Texts without words have no part in the mix and are left out.
+    """
+    takes = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    plan = mix_rows(docs).where("size > 0").withColumn("_takes", takes).where("_takes > 0")
+    # rows that share an id and a text are one entry of the plan, as they are taken alike; each meets its own row of docs
+    plan = plan.groupBy("doc_id", "tie").agg(F.max(F.struct("_takes", "goal", "before", "slope", "size", "source_size")).alias("_p")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "_p.*")
+    own = docs.select(*columns).withColumn("_own_tie", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = own.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
+    met = met.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_takes") - 1)))
+    met = met.withColumn("_position", position_of(F.col("_pass") * F.col("source_size") + F.col("before") + F.col("size") / 2))
+    return met.orderBy("_position", "doc_id").select(*columns)
 
 
 MIX_SQL = r"""
@@ -102,8 +127,8 @@ placed AS (
   FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
 shares AS (
   SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes,
-    CASE WHEN source_size > 0 THEN (before + size / 2) / source_size ELSE 0.0 END AS share, [-0.5, 0.0, 0.5][p % 3 + 1] AS slope FROM placed)
-SELECT doc_id, source, size, source_size, target,
-  CAST(passes * size + greatest(0, least(size, goal - passes * source_size - before)) AS BIGINT) AS taken,
-  CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS position
-FROM shares"""
+    least(1.0, (before + size / 2) / nullif(goal, 0)) AS share, [-0.5, 0.0, 0.5][p % 3 + 1] AS slope FROM placed),
+taken AS (SELECT *, CAST(passes * size + greatest(0, least(size, goal - passes * source_size - before)) AS BIGINT) AS taken FROM shares)
+SELECT doc_id, source, size, source_size, target, taken,
+  CASE WHEN taken = 0 THEN NULL WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END AS position
+FROM taken"""
