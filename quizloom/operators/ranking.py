@@ -49,8 +49,8 @@ def dense_position(rows: DataFrame, order: list[str | Column], name: str = "posi
     """
     from quizloom.session import cut
 
-    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = sizes.select("_range", "_first", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    out = dealt.join(F.broadcast(before), "_range")  # one row a partition
-    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_range", "_at", "_first", "_before")
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_dense_range", F.spark_partition_id()).withColumn("_dense_at", F.monotonically_increasing_id()))
+    sizes = dealt.groupBy("_dense_range").agg(F.count("*").alias("_n"), F.min("_dense_at").alias("_dense_first"))
+    before = sizes.select("_dense_range", "_dense_first", (F.sum("_n").over(Window.orderBy("_dense_range")) - F.col("_n")).alias("_dense_before"))
+    out = dealt.join(F.broadcast(before), "_dense_range")  # one row a partition
+    return out.withColumn(name, F.col("_dense_at") - F.col("_dense_first") + F.col("_dense_before")).drop("_dense_range", "_dense_at", "_dense_first", "_dense_before")
