@@ -1 +1 @@
-"""Part of quizloom; see README.md."""
+"""Scalar functions as Column expressions."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
-MODULES = ["marks", "bank"]
+MODULES = ["marks", "bank", "texts"]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
