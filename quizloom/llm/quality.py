@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quizloom.llm.text_stats import STATS, doc_stats, labelled_sample
 
-BINS, TREES, DEPTH, RATE, LEAF_HESSIAN, L2 = 64, 80, 4, 0.12, 4.0, 2.0
+BINS, TREES, DEPTH, RATE, LEAF_HESSIAN, L2 = 64, 80, 4, 0.12, 1.0, 1.0
 #: Documents with at least this score are of good quality.
 GOOD = 0.7
 MODULUS, HELD_OUT = 4, 2
