@@ -56,8 +56,9 @@ def look_up(left: DataFrame, groups: DataFrame, key: str, count: str, values: li
     size, and their rows go to the shuffled join scattered and without a key. Rows with a null key get nulls.
     """
     line = max(1, total // HOT_SHARE)
+    # _cold_part is always 0, in a form that is not folded: as a constant it would leave _part out of the join's keys
     hot = groups.where(F.col(count) > line).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
-    cold = groups.where(F.col(count) <= line).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_part"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    cold = groups.where(F.col(count) <= line).select(F.col(key).alias("_cold_key"), F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("_cold_part"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     out = left.join(F.broadcast(hot), key, "left")
     scattered = F.coalesce(F.col("_hot"), F.col(key).isNull())
     out = out.withColumn("_part", F.when(scattered, F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(9973)).cast("int")).otherwise(F.lit(0)))
