@@ -269,10 +269,10 @@ def components(docs: DataFrame) -> DataFrame:
     signed = cut(sign(docs))
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    n = classes.count()
     members = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    shared = cut(look_up(members, buckets, "key", "m", ["m"], n * BANDS).where(F.col("m").isNotNull()))
+    # joins of exchanged inputs, whose large partitions adaptive execution splits
+    shared = cut(members.join(buckets, "key"))
     involved = shared.select("cls").distinct()
     named = cut(classes.join(involved, "cls", "left_semi").select("cls", "digest", "first", "bands"))
     texts = with_ids(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), named.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
@@ -285,15 +285,16 @@ def components(docs: DataFrame) -> DataFrame:
     # what is left: buckets with more than one component
     labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
     labelled = cut(labelled)
-    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("m").alias("m")).where("_low < _high").select("key", "m", F.lit(True).alias("mixed"))
-    mixed = look_up(labelled.drop("m"), split, "key", "m", ["m", "mixed"], n * BANDS).where("mixed").drop("mixed")
+    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("m").alias("m")).where("_low < _high").select("key", "m")
+    mixed = labelled.drop("m").join(split, "key")
     marks = named.select("cls", F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(1 << 32))), 8, "0")), "")).alias("marks"))
     more = cut(_confirmed(_pairs(mixed.join(sketches, "cls").join(marks, "cls"), _crossing), full))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     linked = found.withColumnRenamed("node", "cls").join(classes.select("cls", "digest", "first", "copies"), "cls")
-    roots = linked.groupBy("component").agg(F.min("first").alias("smallest"), F.count("*").alias("size"))
-    linked = look_up(linked, roots, "component", "size", ["smallest"], n)
+    linked = cut(linked)
+    roots = linked.groupBy("component").agg(F.min("first").alias("smallest"))
+    linked = linked.join(roots, "component")
     alone = classes.join(found.select(F.col("node").alias("cls")), "cls", "left_anti").where("copies > 1").select("digest", "copies", F.col("first").alias("smallest"))
     groups = cut(linked.select("digest", "copies", "smallest").unionByName(alone))
     out = look_up(signed.select("doc_id", "n_shingles", "digest"), groups, "digest", "copies", ["smallest"], signed.count())
