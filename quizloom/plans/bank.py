@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizloom.operators import keyed, ranking
 from quizloom.operators.graph import connected_components
 from quizloom.plans.registry import query
-from quizloom.session import cut, read_table
+from quizloom.session import read_table
 from quizloom.sources import standins as S
 
 P = "WITH " + S.SQL
@@ -386,3 +386,13 @@ def exact_duplicates(spark, sf_dir):
     rows = rows.select("q", F.concat_ws("|", F.col("stem"), F.concat_ws("|", F.array_sort("opts"))).alias("key"), rank.alias("r"))
     d = rows.groupBy("key").agg(F.min_by("q", F.struct("r", "q")).alias("rep"), F.count("*").alias("_n")).where("_n > 1")
     return rows.join(d, "key").where((F.col("q") != F.col("rep")) & (F.col("q") % 3).eqNullSafe(F.col("rep") % 3)).select("q", "rep")
+
+
+@query(P + """, m AS (SELECT part AS sid, count(DISTINCT q) AS n FROM opt GROUP BY part)
+SELECT sid, n, row_number() OVER (ORDER BY n DESC, sid) AS place FROM m WHERE sid IN (SELECT p_partkey FROM part WHERE p_size > 10) AND n >= 20""")
+def must_know(spark, sf_dir):
+    """The most asked first, with how often, of those whose id is valid."""
+    rows = S.options(spark, sf_dir).groupBy(F.col("part").alias("sid")).agg(F.countDistinct("q").alias("n")).where("n >= 20")
+    valid = read_table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("sid"))
+    out = ranking.dense_position(rows.join(valid, "sid", "left_semi"), [F.desc("n"), F.col("sid")], "place")
+    return out.withColumn("place", F.col("place") + 1)

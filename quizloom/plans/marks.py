@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizloom.operators import ranking
-from quizloom.operators.scoring import half_up, mark20, percent, points
+from quizloom.operators.scoring import mark20, percent, points
 from quizloom.plans.registry import query
 from quizloom.sources import standins as S
 

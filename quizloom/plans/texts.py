@@ -210,3 +210,19 @@ def moon_phases(spark, sf_dir):
 
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-02-29')) AS day")
     return days.select(F.col("day").cast("string").alias("day"), F.round(moon_age(F.col("day")), 4).alias("age"), F.round(moon_lit(F.col("day")), 4).alias("lit"))
+
+
+@query("SELECT item_id, replace(url_encode(substr(text, 1, 60)), '%20', '+') AS q, substr(text, 1, 60) AS back FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
+def report_links(spark, sf_dir):
+    """A form's address with the text filled in, and the text parsed out of it again."""
+    text = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)
+    rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("https://forms.example.org/r?q="), F.url_encode(text)).alias("url"))
+    query_ = F.try_parse_url(F.col("url"), F.lit("QUERY"), F.lit("q"))
+    return rows.select("item_id", query_.alias("q"), F.url_decode(query_).alias("back"))
+
+
+@query("SELECT DISTINCT lang, regexp_replace(lower(lang || '-' || source), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
+def set_slugs(spark, sf_dir):
+    """Slugs in which a repeated word stands once."""
+    rows = read_table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return rows.select("lang", T.set_slug(F.concat_ws(" ", "lang", "source", "lang")).alias("slug")).distinct()
