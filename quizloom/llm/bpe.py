@@ -2,7 +2,8 @@
 
 Each word is merged over one contiguous array of part boundaries with the rank of every adjacent pair beside it: scan for
 the smallest rank (the leftmost on ties), delete that boundary, refresh the two neighbouring ranks, until no pair has a
-rank. Words are short, so the scan beats a heap. Words repeat, so each worker keeps what it has merged in a bounded memo.
+rank. Words are short, so the scan beats a heap; words of one length are merged side by side as rows of one matrix. Words
+repeat, so each worker keeps what it has merged in a bounded memo.
 
 Contract of the cases: a null text counts as empty; an empty text has no tokens and decodes to the empty text; a text of
 any length is encoded whole; repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
@@ -14,16 +15,19 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Words kept by a worker's memo before it is emptied.
-MEMO_WORDS = 300_000
-#: Words longer than this are merged but not kept.
-MEMO_CHARS = 64
+MEMO_WORDS = 150_000
+#: Words of more UTF-8 bytes than this are merged alone and not kept.
+MEMO_BYTES = 64
+#: Characters of text that are encoded together.
+SLICE_CHARS = 1_000_000
 NO_RANK = 1 << 60
 #: Ids are below 2**BITS.
 BITS = 24
@@ -44,21 +48,6 @@ def byte_chars() -> list[str]:
     return out
 
 
-class Memo(dict):
-    """What make(word) gave, for the words last met; emptied when full, and long words are not kept."""
-
-    def __init__(self, make: Callable[[str], str]):
-        self.make = make
-
-    def __missing__(self, word: str) -> str:
-        out = self.make(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class WordBpe:
     """A tokenizer read from the text of a tokenizers JSON file whose model is BPE with a word-end suffix."""
 
@@ -81,7 +70,11 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+").findall
-        self.ids_of, self.tokens_of = Memo(self._ids), Memo(self._tokens)
+        self.keys = np.array(sorted(self.ranks), dtype=np.int64)
+        self.values = np.array([self.ranks[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.inner_ids, self.last_ids = np.array(self.inner, dtype=np.int64), np.array(self.last, dtype=np.int64)
+        self.token_of = {str(i): t for i, t in self.token.items()}
+        self.memo: dict[str, str] = {}
 
     def merge(self, word: str) -> list[int]:
         """The token ids of one word."""
@@ -103,14 +96,64 @@ class WordBpe:
                 ranks[i] = rank_of(parts[i] << BITS | parts[i + 1], NO_RANK)
         return parts
 
-    def _merged(self, word: str) -> list[int]:
-        return self.merge(word) if len(word) <= 4 * MEMO_CHARS else self._merge_long(word)
-
-    def _ids(self, word: str) -> str:
-        return " ".join(map(str, self._merged(word)))
-
-    def _tokens(self, word: str) -> str:
-        return " ".join([self.token[int(i)] for i in self.ids_of[word].split(" ")])
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """ranks.get for arrays of adjacent ids."""
+        key = a << BITS | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.values[at], NO_RANK)
+
+    def merge_many(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """merge for words of one length at once: pairs of word numbers and their ids, one row a word.
+
+        Every word still at work loses one boundary a step, so the arrays stay rectangular.
+        """
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
+        at = np.arange(len(words))
+        parts = self.inner_ids[data]
+        parts[:, -1] = self.last_ids[data[:, -1]]
+        ranks = self.rank_of(parts[:, :-1], parts[:, 1:])
+        while len(at):
+            if not ranks.shape[1]:
+                yield at, parts
+                return
+            i = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), i]
+            ended = best == NO_RANK
+            if ended.any():
+                yield at[ended], parts[ended]
+                going = ~ended
+                at, parts, ranks, i, best = at[going], parts[going], ranks[going], i[going], best[going]
+                if not len(at):
+                    return
+            row = np.arange(len(at))
+            parts[row, i] = best & NEW_ID
+            parts = parts[np.arange(parts.shape[1]) != i[:, None] + 1].reshape(len(at), -1)
+            ranks = ranks[np.arange(ranks.shape[1]) != i[:, None]].reshape(len(at), -1)
+            left, right = i > 0, i < ranks.shape[1]
+            ranks[row[left], i[left] - 1] = self.rank_of(parts[row[left], i[left] - 1], parts[row[left], i[left]])
+            ranks[row[right], i[right]] = self.rank_of(parts[row[right], i[right]], parts[row[right], i[right] + 1])
+
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """The ids, joined by spaces, of these words: from the memo or merged now."""
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = list(words)
+        by_length: dict[int, list[tuple[str, bytes]]] = {}
+        out: dict[str, str] = {}
+        for w in new:
+            data = w.encode()
+            if len(data) > MEMO_BYTES:
+                out[w] = " ".join(map(str, self._merge_long(w)))
+            else:
+                by_length.setdefault(len(data), []).append((w, data))
+        for group in by_length.values():
+            for at, ids in self.merge_many([data for _, data in group]):
+                for k, found in zip(at.tolist(), ids.tolist()):
+                    memo[group[k][0]] = " ".join(map(str, found))
+        return memo | out if out else memo
 
     def _merge_long(self, word: str) -> list[int]:
         """The same merges for a word of thousands of bytes, with a heap in place of the scan."""
@@ -150,22 +193,25 @@ class WordBpe:
             return self.ascii_words(text.lower())
         return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encoded(self, text: str) -> tuple[str, str]:
-        """The text's ids and its tokens, each joined by spaces."""
-        if self.cut is None or not any(special in text for special in self.special):
-            words = self.split(text)
-            return " ".join(map(self.ids_of.__getitem__, words)), " ".join(map(self.tokens_of.__getitem__, words))
-        ids, tokens = [], []
-        for k, part in enumerate(self.cut.split(text)):
-            words = [] if k % 2 else self.split(part)
-            ids += [str(self.special[part])] if k % 2 else map(self.ids_of.__getitem__, words)
-            tokens += [part] if k % 2 else map(self.tokens_of.__getitem__, words)
-        return " ".join(ids), " ".join(tokens)
+    def encoded(self, texts: list[str]) -> list[str]:
+        """For each text, its ids joined by spaces."""
+        split = [self.cut.split(t) if self.cut and any(x in t for x in self.special) else [t] for t in texts]
+        words = [[self.split(part) if k % 2 == 0 else part for k, part in enumerate(parts)] for parts in split]
+        ids_of = self.learn({w for parts in words for part in parts[::2] for w in part}).__getitem__
+        out = []
+        for parts in words:
+            ids = [str(self.special[part]) if k % 2 else " ".join(map(ids_of, part)) for k, part in enumerate(parts)]
+            out.append(ids[0] if len(ids) == 1 else " ".join(filter(None, ids)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encoded(text)[0]
+        ids = self.encoded([text])[0]
         return [int(i) for i in ids.split(" ")] if ids else []
 
+    def decoded(self, ids: str) -> str:
+        """decode for ids joined by spaces, all of which name tokens."""
+        return " ".join(map(self.token_of.__getitem__, ids.split(" "))) if ids else ""
+
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces; ids that name no token are skipped."""
         return " ".join(self.token[i] for i in ids if i in self.token)
@@ -183,6 +229,18 @@ def _tokenizer(text: str) -> WordBpe:
     return _loaded[key]
 
 
+def encoded_in_slices(bpe: WordBpe, texts: pa.Array) -> Iterator[str]:
+    """encoded, over slices of about SLICE_CHARS characters, so that few words are in memory at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size >= SLICE_CHARS:
+            yield from bpe.encoded(some)
+            some, size = [], 0
+    yield from bpe.encoded(some)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the number of tokens, the ids (space-joined digest) and the digest of what they decode to.
 
@@ -200,11 +258,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | Non
         bpe = _tokenizer(shared.value)
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                joined, tokens = bpe.encoded(text or "")
+            for joined in encoded_in_slices(bpe, batch.column("text")):
                 n.append(joined.count(" ") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(tokens.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decoded(joined).encode()).hexdigest())
                 if keep:
                     ids.append([int(i) for i in joined.split(" ")] if joined else [])
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
