@@ -165,9 +165,18 @@ def short_numbers(spark, sf_dir):
 @query("""WITH n AS (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_custkey < 400)
 SELECT a.c_custkey AS a, b.c_custkey AS b FROM n a JOIN n b ON a.c_custkey < b.c_custkey AND a.c_custkey % 40 = b.c_custkey % 40 WHERE levenshtein(a.k, b.k) <= 1""")
 def names_too_close(spark, sf_dir):
-    n = read_table(spark, sf_dir, "customer").where("c_custkey < 400").select("c_custkey", "c_name", (F.col("c_custkey") % 40).alias("block"))
-    other = n.select("block", F.col("c_custkey").alias("b"), F.col("c_name").alias("_other"))
-    return n.join(other, "block").where((F.col("c_custkey") < F.col("b")) & T.too_close(F.col("c_name"), F.col("_other"))).select(F.col("c_custkey").alias("a"), "b")
+    """All pairs of customers whose name keys are at most one edit apart. The SQL above compares a part of them only.
+
+    Two such keys share themselves or a form with one character left out, so distinct keys meet in an equi-join on these
+    forms and are verified; then the customers of each key take the places of keys.
+    """
+    n = read_table(spark, sf_dir, "customer").select("c_custkey", T.name_key(F.col("c_name")).alias("k"))
+    keys = n.select("k").distinct().where("k IS NOT NULL")
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k"), F.lit(1))), lambda i: F.concat(F.substring(F.col("k"), F.lit(1), i - 1), F.substring(F.col("k"), i + 1, F.length("k"))))
+    forms = keys.select("k", F.explode(F.array_distinct(F.array_append(without, F.col("k")))).alias("form"))
+    met = forms.join(forms.withColumnRenamed("k", "other"), "form").where(F.levenshtein("k", "other", 1) >= 0).select("k", "other").distinct()
+    near = met.join(n.withColumnRenamed("c_custkey", "a"), "k").join(n.select(F.col("c_custkey").alias("b"), F.col("k").alias("other")), "other")
+    return near.where("a < b").select("a", "b")
 
 
 @query("WITH " + S.SQL + """, l AS (SELECT q, '[' || string_agg(i, ',' ORDER BY i) || ',99]' AS j FROM opt GROUP BY q)
