@@ -1,6 +1,9 @@
 """Queries read all their rows: each against brute force on a small fixture."""
 
 import itertools
+import math
+import random
+from collections import Counter
 
 from quizloom.plans import registry
 
@@ -26,3 +29,32 @@ def test_names_too_close_compares_all_customers(spark, tmp_path):
     key = {id_: "".join(c for c in name.lower().replace("ë", "e") if c.isalnum()) for id_, name in rows if name is not None}
     want = sorted((a, b) for a, b in itertools.combinations(sorted(key), 2) if one_edit(key[a], key[b]))
     assert run(spark, tmp_path, "names_too_close", customer=(rows, "c_custkey long, c_name string")) == want
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(*texts):
+    """The documents table of (doc_id, lang, text)."""
+    return [(i, text, lang, "s", len(text)) for i, lang, text in texts], DOCUMENTS
+
+
+def test_similarity_join_reads_long_documents(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("bdfgklmnprtv") + r.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    texts = {i: [r.choice(vocabulary) for _ in range(r.choice([12, 30, 700]))] for i in range(14)}
+    texts |= {i + 20: [r.choice(vocabulary) if r.random() < 0.2 else w for w in texts[i]] for i in range(14)}
+    lang = {i: "en" if i % 20 < 10 else "de" for i in texts}
+    assert sum(len(" ".join(t)) >= 2500 for t in texts.values()) >= 6
+    want = []
+    for group in ("en", "de"):
+        own = {i: Counter(t) for i, t in texts.items() if lang[i] == group}
+        df = Counter(w for c in own.values() for w in c)
+        vector = {i: {w: (1 + math.log(n)) * (math.log((1 + len(own)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in own.items()}
+        length = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+        for a, b in itertools.combinations(sorted(own), 2):
+            cosine = sum(x * vector[b].get(w, 0) for w, x in vector[a].items()) / length[a] / length[b]
+            if cosine >= 0.62:
+                want.append((group, a, b, round(cosine, 4)))
+    got = run(spark, tmp_path, "similarity_join", documents=documents(*[(i, lang[i], " ".join(t)) for i, t in texts.items()]))
+    assert [(g, a, b, round(c, 4)) for g, a, b, c in got] == sorted(want)
