@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+from quizloom.operators import pairing
 from quizloom.plans import registry
 
 
@@ -58,3 +59,46 @@ def test_similarity_join_reads_long_documents(spark, tmp_path):
                 want.append((group, a, b, round(cosine, 4)))
     got = run(spark, tmp_path, "similarity_join", documents=documents(*[(i, lang[i], " ".join(t)) for i, t in texts.items()]))
     assert [(g, a, b, round(c, 4)) for g, a, b, c in got] == sorted(want)
+
+
+def linked_questions():
+    """Questions of many and long lines, and the pairs (a, b, option map, conflict) by comparing all with all."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bdfgklmnprtv") + r.choice("aeiou") for _ in range(5))
+    texts = {}
+    for k, (n, wide) in enumerate([(3, 2), (5, 2), (7, 2), (9, 60), (2, 180)]):
+        lines = [" ".join(word() for _ in range(wide)) for _ in range(n)]
+        head = f"bado{k} " + " ".join(word() for _ in range(6))
+        shuffled = r.sample(lines, n)
+        for j, own in enumerate([lines, lines, shuffled, lines[:-1] + [word() + " " + word()], lines[:-1], lines + [word()]]):
+            texts[10 * k + j] = [head, *own]
+    assert sum(len("\n".join(t)) >= 3000 for t in texts.values()) >= 6
+    text = lambda line: pairing.Text(line.split(), line)
+    want = []
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = texts[a], texts[b]
+        if x[0] == y[0] and len(x) == len(y) and (found := pairing.pair_options([text(o) for o in x[1:]], [text(o) for o in y[1:]])) is not None:
+            want.append((a, b, ",".join(map(str, found)), found[a % 2] != b % 2))
+    return documents(*[(i, "en", "\n".join(t)) for i, t in texts.items()]), sorted(want)
+
+
+def test_constellations_compare_all_options_of_all_documents(spark, tmp_path):
+    table, want = linked_questions()
+    assert (20, 21, "0,1,2,3,4,5,6", True) in want and not any((a, b) == (20, 23) for a, b, *_ in want)
+    assert run(spark, tmp_path, "constellation_pairs", documents=table) == want
+    assert run(spark, tmp_path, "constellations") == components((a, b) for a, b, _, conflict in want if not conflict)
+
+
+def components(edges):
+    """(node, the smallest node linked to it) of all edges' nodes."""
+    lead = {}
+
+    def root(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        lead[y] = x
+    return sorted((x, root(x)) for x in list(lead))
