@@ -7,6 +7,7 @@ from collections import Counter
 
 from quizloom.operators import pairing
 from quizloom.plans import registry
+from quizloom.plans.match import SYNONYMS
 
 
 def run(spark, folder, name, **tables):
@@ -102,3 +103,30 @@ def components(edges):
         x, y = sorted((root(a), root(b)))
         lead[y] = x
     return sorted((x, root(x)) for x in list(lead))
+
+
+def tags(lang, text):
+    """(concept, score, place) of a text in lower case without marks, by looking at every place of every term."""
+    stem, *rest = [line for line in text.split("\n") if line.strip()] or [""]
+    found = lambda term, words: sum(" ".join(words[i : i + len(term.split())]) in (term, term + "s", term + "es") for i in range(len(words)))
+    score, order, parents = Counter(), {}, {}
+    for i, (module, concept, parent, term) in enumerate(SYNONYMS):
+        order.setdefault(concept, i)
+        parents[concept] = parent
+        if module == lang:
+            score[concept] += (300 + len(term)) * (found(term, stem.split()) > 0) + 100 * min(2, found(term, " ".join(rest).split()))
+    score = {c: n for c, n in score.items() if n}
+    best = max(score.values(), default=0)
+    kept = {c for c, n in score.items() if n >= 300 or (best < 300 and n >= best)}
+    kept = {c for c in kept if not any(parents[x] == c for x in kept)} or kept
+    return [(c, score[c], k + 1) for k, c in enumerate(sorted(kept, key=lambda c: (-score[c], order[c]))[:3])]
+
+
+def test_dictionary_tags_reads_whole_texts(spark, tmp_path):
+    filler = "bado kelu mira " * 120
+    texts = [
+        ("en", f"{filler}are\n{filler}"), ("en", f"bado\n{filler}\n{filler} of the things\nand the tion"), ("en", "and the\n\nthing thing thing"), ("en", "bado"), ("en", ""),
+        ("en", f"\n \n{'x' * 299} the\nof the"), ("de", f"bado\n{filler}\nist die\ndie der"), ("fr", f"bado\n{filler}de la\n{filler}\nde la"), ("es", f"{filler}que de los\nen"),
+    ]
+    want = sorted((i, *row) for i, (lang, text) in enumerate(texts) for row in tags(lang, text))
+    assert run(spark, tmp_path, "dictionary_tags", documents=documents(*[(i, *t) for i, t in enumerate(texts)])) == want
