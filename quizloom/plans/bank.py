@@ -147,7 +147,8 @@ TWINS = """, t AS (SELECT o.q, q.module AS stem, list(CAST(st || flag AS VARCHAR
 
 
 def twin_rows(spark, sf_dir):
-    rows = S.options(spark, sf_dir).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("st", "flag").alias("t")))), lambda x: x["t"]).alias("opts")).where("size(opts) <= 3")
+    """Every question that has options, however many, with its stem and options in order. TWINS leaves out those of more than three."""
+    rows = S.options(spark, sf_dir).groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("st", "flag").alias("t")))), lambda x: x["t"]).alias("opts"))
     return rows.join(S.questions(spark, sf_dir).select("q", F.col("module").alias("stem")), "q")
 
 

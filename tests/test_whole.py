@@ -130,3 +130,37 @@ def test_dictionary_tags_reads_whole_texts(spark, tmp_path):
     ]
     want = sorted((i, *row) for i, (lang, text) in enumerate(texts) for row in tags(lang, text))
     assert run(spark, tmp_path, "dictionary_tags", documents=documents(*[(i, *t) for i, t in enumerate(texts)])) == want
+
+
+LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+ORDERS = "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate date, o_orderstatus string, o_totalprice double"
+CUSTOMER = "c_custkey long, c_mktsegment string"
+
+
+def bank(options, status):
+    """Tables of questions (number: texts of two letters, the line's status and flag, in order) in two modules."""
+    lines = [(q, 1, 1, i, 1.0, 1.0, 0.5, t[1], t[0]) for q, opts in options.items() for i, t in enumerate(opts)]
+    orders = [(q, 1 + q // 30, "5-LOW", None, status[q], 1.0) for q in options]
+    return {"lineitem": (lines, LINEITEM), "orders": (orders, ORDERS), "customer": ([(1, "BUILDING"), (2, "MACHINERY")], CUSTOMER)}
+
+
+def test_twins_of_any_number_of_options(spark, tmp_path):
+    r = random.Random(7)
+    kinds = [[r.choice("OF") + r.choice("RAN") for _ in range(n)] for n in (1, 2, 3, 4, 5, 7, 7)]
+    opts = {q: r.sample(k, len(k)) if r.random() < 0.5 else k for q in range(60) for k in [r.choice(kinds)]}
+    opts[31], opts[32] = kinds[4], kinds[4][::-1]
+    status = {q: r.choice("FOP") for q in opts}
+    stem = {q: q // 30 for q in opts}
+    loose = {q: (stem[q], sorted(o)) for q, o in opts.items()}
+    first = lambda rows: min(rows, default=None)
+    merge = {q: first(o for o in opts if o % 2 and stem[o] == stem[q] and opts[o] == opts[q]) for q in opts if q % 2 == 0}
+    merge = {q: first(o for o in opts if o % 2 and loose[o] == loose[q]) if m is None else m for q, m in merge.items()}
+    fill = [(q, status[q] != "P", first(o for o in opts if status[o] != "P" and loose[o] == loose[q]) if status[q] == "P" else None) for q in opts]
+    rep = {q: min((o for o in opts if loose[o] == loose[q]), key=lambda o: ("FO".find(status[o]) % 4, o)) for q in opts}
+    run_ = lambda name, **tables: run(spark, tmp_path, name, **tables)
+    assert dict(run_("keyed_text_merge", **bank(opts, status))) == merge
+    assert {x[0]: x for x in map(tuple, registry.queries()["twin_fill"](spark, str(tmp_path)).collect())} == {x[0]: x for x in fill}
+    assert run_("option_permutation") == sorted((q, ",".join(str(sorted(o).index(x)) for x in o)) for q, o in opts.items())
+    same = run_("multiset_equality")
+    assert same == [(q, q + 1) for q in range(59) if sorted(opts[q]) == sorted(opts[q + 1])] and (31, 32) in same
+    assert run_("exact_duplicates") == sorted((q, x) for q, x in rep.items() if q != x and q % 3 == x % 3)
