@@ -164,3 +164,15 @@ def test_twins_of_any_number_of_options(spark, tmp_path):
     same = run_("multiset_equality")
     assert same == [(q, q + 1) for q in range(59) if sorted(opts[q]) == sorted(opts[q + 1])] and (31, 32) in same
     assert run_("exact_duplicates") == sorted((q, x) for q, x in rep.items() if q != x and q % 3 == x % 3)
+
+
+def test_components_take_links_from_every_line(spark, tmp_path):
+    r = random.Random(9)
+    lines = [(r.randrange(1, 400), r.randrange(1, 400), 1, 1, float(r.randrange(1, 51)), 1.0, r.randrange(11) / 100, "R", "O") for _ in range(150)]
+    links = [(a, p * 7 % 15000) for a, p, *_ in lines]
+    want = components([x for x in links if x[0] != x[1] and x[0] % 97 and x[1] % 97] + [(97, 194), (97, 291)])
+    orders = [(q, 1 + q % 2, "5-LOW", None, "F", 1.0) for q in range(400)]
+    got = run(spark, tmp_path, "components_of_links", lineitem=(lines, LINEITEM), orders=(orders, ORDERS), customer=([(1, "BUILDING"), (2, "MACHINERY")], CUSTOMER))
+    assert got == want
+    sets = {c: [1 + q % 2 for q, x in want if x == c and q < 400] for c in {c for _, c in want}}
+    assert run(spark, tmp_path, "repeated_clusters") == sorted((c, 2, len(s)) for c, s in sets.items() if len(set(s)) == 2)
