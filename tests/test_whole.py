@@ -176,3 +176,11 @@ def test_components_take_links_from_every_line(spark, tmp_path):
     assert got == want
     sets = {c: [1 + q % 2 for q, x in want if x == c and q < 400] for c in {c for _, c in want}}
     assert run(spark, tmp_path, "repeated_clusters") == sorted((c, 2, len(s)) for c, s in sets.items() if len(set(s)) == 2)
+
+
+def test_must_know_lists_every_valid_item(spark, tmp_path):
+    asked = {1: 25, 2: 3, 3: 1, 4: 30, 5: 3}
+    lines = [(q, part, 1, 1, 1.0, 1.0, 0.0, "R", "O") for part, n in asked.items() for q in range(n)]
+    parts = [(part, 5 if part == 4 else 20) for part in (*asked, 6)]
+    got = run(spark, tmp_path, "must_know", lineitem=(lines, LINEITEM), part=(parts, "p_partkey long, p_size int"))
+    assert got == [(1, 25, 1), (2, 3, 2), (3, 1, 4), (5, 3, 3)]
