@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.session import cut
+from quizloom.session import cut, look_up, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,22 +13,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round gives every node the smallest label among its own and its neighbours', and from the third round on its
     label's label, so rounds end after about the logarithm of the longest path. Edges with a null end and loops link
-    nothing. Every round's labels are written to the checkpoint folder, so plans do not grow; the joins read exchanged
-    inputs on both sides, so adaptive execution can split a hub's or a large component's partition.
+    nothing. Every round's labels are a table in the checkpoint folder, so plans do not grow, and the round before's is
+    deleted. Hubs and the labels of large components are looked up by counted keys, so none of them fills one task.
     """
     one = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
-    rounds, changed = 0, not labels.isEmpty()
+    n_edges = both.count()
+    labels = cut(both.groupBy("u").agg(F.count("*").alias("degree"), F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
+    n_nodes, rounds, changed = labels.count(), 0, n_edges > 0
     while changed:
         rounds += 1
-        heard = both.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, labels["node"] == heard["v"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
-        if rounds > 2:
-            lower = cut(lower)
-            above = lower.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            lower = lower.join(above, "label").select("node", F.least("label", "above").alias("label"), "old")
+        known = labels.select(F.col("node").alias("u"), "degree", "label")
+        heard = look_up(both, known, "u", "degree", ["label"], n_edges).groupBy("v").agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, labels["node"] == heard["v"]).select("node", "degree", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
         lower = cut(lower)
+        if rounds > 2:
+            sizes = lower.groupBy("label").agg(F.count("*").alias("size"))
+            above = sizes.join(lower.select(F.col("node").alias("label"), F.col("label").alias("above")), "label")
+            jumped = look_up(lower, above, "label", "size", ["above"], n_nodes).select("node", "degree", F.least("label", "above").alias("label"), "old")
+            jumped = cut(jumped)
+            release(lower)
+            lower = jumped
         changed = not lower.where("label <> old").isEmpty()
-        labels = lower.select("node", "label")
+        release(labels)
+        labels = lower
+    release(both)
     return labels.select("node", F.col("label").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,40 @@ BROADCAST_IDS = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if named is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quizloom-"))
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
+    if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quizloom-"))
     return sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path of this name in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: computed once, and safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared folder and read again: computed once, and safe when executors are lost."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by cut; nothing that is still to be computed may read them."""
+    for df in tables:
+        delete_path(df.sparkSession, df._cut_path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +74,8 @@ def look_up(left: DataFrame, groups: DataFrame, key: str, count: str, values: li
     """left with groups' values by key, where groups has one row a key and the key's number of left rows in count.
 
     Keys with more than total / HOT_SHARE rows are fewer than HOT_SHARE, so they are broadcast whatever the input's
-    size, and their rows go to the shuffled join scattered and without a key. Rows with a null key get nulls.
+    size, and their rows go to the shuffled join scattered and without a key. Values must be of bounded size; for others
+    see spread. Rows with a null key get nulls.
     """
     line = max(1, total // HOT_SHARE)
     # _cold_part is always 0, in a form that is not folded: as a constant it would leave _part out of the join's keys
@@ -61,7 +83,24 @@ def look_up(left: DataFrame, groups: DataFrame, key: str, count: str, values: li
     cold = groups.where(F.col(count) <= line).select(F.col(key).alias("_cold_key"), F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("_cold_part"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     out = left.join(F.broadcast(hot), key, "left")
     scattered = F.coalesce(F.col("_hot"), F.col(key).isNull())
-    out = out.withColumn("_part", F.when(scattered, F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(9973)).cast("int")).otherwise(F.lit(0)))
+    # by the row's content and place, so that a task that is run again deals its rows out alike
+    place = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(9973)).cast("int")
+    out = out.withColumn("_part", F.when(scattered, F.lit(1) + place).otherwise(F.lit(0)))
     out = out.withColumn("_join_key", F.when(~scattered, F.col(key)))
     out = out.join(cold, (F.col("_join_key") == F.col("_cold_key")) & (F.col("_part") == F.col("_cold_part")), "left")
     return out.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values])
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of left (many rows a key) with right (one row a key, of any size), total being left's rows.
+
+    A key with more than total / HOT_SHARE rows is split into so many parts that none has more, and right's row is there
+    once for each part. What is broadcast is the number of parts of fewer than HOT_SHARE keys.
+    """
+    line = max(1024, total // HOT_SHARE)
+    parts = F.ceil(F.col("_n") / line).cast("int").alias("_parts")
+    hot = F.broadcast(cut(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > line).select(key, parts)))
+    n = F.coalesce(F.col("_parts"), F.lit(1))
+    many = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("_parts")
+    one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return many.join(one, [key, "_salt"]).drop("_salt")
