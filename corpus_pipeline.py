@@ -1,19 +1,25 @@
 """A training corpus from documents: five stages, each over all rows that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet and reads them
-again for the next. All stages but the last return the columns of documents.
+again for the next, and deletes the ones before the last. All stages but the last return the columns of documents, and none
+reads other columns.
+
+Contract of the cases: a null text counts as empty, and an empty text is judged by the classifier like any other; what it
+keeps has no words, so it is one text for exact dedup, has no near-duplicates, takes no part in the mix and ends there. Any
+other column may be null. Rows that share a doc_id, null ids among them, are told apart by their texts: a row goes only if
+its own text stands in another row that stays, and of repeated rows one stays. A null source is a source; ties go to the
+smallest doc_id. Texts of any length are read whole. Empty tables give empty tables; without labels the classifier scores
+0.5 and rejects everything.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm import bpe, curriculum, exact, near, quality
 from quizloom.llm.queries import word_tokenizer
-from quizloom.session import checkpoint_dir, cut, read_table, without_ids
+from quizloom.session import delete_path, read_table, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,15 +31,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts, the one with the smallest id."""
-    dropped = cut(exact.dedup(docs).where("NOT kept").select("doc_id"))
-    return without_ids(docs, dropped, "doc_id").select(*COLUMNS)
+    """One row of each group of equal normalised texts: one with the smallest id."""
+    return exact.keepers(docs, COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest id."""
-    dropped = cut(near.components(docs).where("NOT kept").select("doc_id"))
-    return without_ids(docs, dropped, "doc_id").select(*COLUMNS)
+    """One row of each component of near-duplicates: one with the smallest id."""
+    return near.keepers(docs, COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents."""
-    place = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    place = scratch_path(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            delete_path(spark, f"{place}/{k - 1}")
     return docs

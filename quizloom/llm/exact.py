@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quizloom.llm.rows import settle
 from quizloom.session import HOT_SHARE, cut, look_up
 
 BLOCK = 4096
@@ -96,3 +97,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     groups = ids.groupBy("identity").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = look_up(ids, groups, "identity", "group_size", ["keep_id", "group_size"], ids.count())
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keepers(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs: one row of each group of equal normalised texts.
+
+    A row is known by its doc_id and its normalised text, so a row that shares its id with a dropped one is judged by itself.
+    Of a group's rows with the smallest id, and of a group without any id, the least row by the columns stays.
+    """
+    decided = cut(dedup(docs).select("doc_id", "keep_id", "text_sha256"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = decided.groupBy("doc_id", F.col("text_sha256").alias("row_key")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    return settle(docs, cut(rows.select("doc_id", "row_key", "stays")), columns, lambda x: x.withColumn("row_key", F.sha2(normalised(F.col("text")).cast("binary"), 256)))

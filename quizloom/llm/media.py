@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.session import checkpoint_dir, cut, look_up, with_ids, without_ids
+from quizloom.session import cut, delete_path, look_up, scratch_path, with_ids, without_ids
 
 UNIT, RATE, HEADER = 192, 8000, 44
 LEAST, MOST, BITS = 512, 8192, 11
@@ -205,12 +204,11 @@ def features(file: bytes, n_chunks: int) -> tuple[int, str, int, int, str, str]:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes and what was read back, for every row of docs. Without a path, the store is dropped when it has been read."""
     spark = docs.sparkSession
-    place = path or f"{checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
+    place = path or scratch_path(spark, "media")
     named = store(docs, place)
     back = cut(read_back(spark, place))
     if path is None:
-        target = spark._jvm.org.apache.hadoop.fs.Path(place)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(spark, place)
     counts = named.groupBy("media").agg(F.count("*").alias("copies"))
     values = [c.split(" ")[0] for c in READ.split(", ")[1:]]
     out = look_up(named.select("doc_id", "n_bytes", "media"), back.join(counts, "media"), "media", "copies", values, named.count())

@@ -4,18 +4,24 @@
    BAND_ROWS MinHash values each. Documents with equal sets are one class from here on.
 2. Classes that share a band key are candidates. Of a class that has any, an odd sketch is made: SAMPLES MinHash values, each
    flipping one bit of SKETCH_BITS, so that the population count of two sketches' XOR estimates their Jaccard similarity to
-   about 0.02 near 0.75. Pairs whose estimate is below LEAST_ESTIMATE (over three standard errors) are not verified.
-3. Verification intersects the full sets. First each bucket's best connected classes are verified against the others (a star
-   for each, so a bucket of m classes gives fewer than m pairs), and what is linked becomes components. Then, in buckets that
-   still hold more than one component, every promising pair across components is verified, once, in the first band it shares.
-4. Components of all confirmed links, over classes, give each document the smallest doc_id it can reach.
-
-Two documents at similarity 0.75 share no band with a probability of 2e-5; no number of partners or candidates is capped. A
-large bucket is dealt out as pairs of blocks of its classes.
+   about 0.02 near 0.75.
+3. Stars: each bucket of m classes names one centre (the class whose band keys are the most shared, so that a group names
+   mostly one centre in all of its bands) and m - 1 pairs. Pairs whose estimate reaches LEAST_ESTIMATE are verified on full
+   sets; what is linked becomes components.
+4. The rest: all classes of buckets that still hold more than one component. A prefix-filter join over their full sets finds
+   every pair of different components that can reach the threshold, exactly and without the sketch: shingles are ordered by
+   how many of these classes hold them, and a pair that reaches it shares one within both classes' first quarter. The join's
+   keys are a shingle and the two classes' size steps, and a shingle's place bounds the sizes it can serve, so classes
+   that only share a template (below a similarity of about 0.69) meet in no key at all. Pairs found are verified.
+5. Components of all confirmed links, over classes, give each document the smallest doc_id it can reach.
+
+Rows grow in proportion to the classes and their shingles: no step names all pairs of a bucket, and no number of partners or
+candidates is capped. Pairs of similarities between 0.69 and 0.75 are compared one by one where a rare shingle is common to
+them. Two documents at similarity 0.75 share no band with a probability of 2e-5; that is the method's only loss.
 
 Contract of the cases: null, empty and wordless texts have no shingles and are linked with nothing; with fewer than five words
-the whole sequence is one shingle; whole texts count however long; repeated rows are copies of one another; an empty table
-gives an empty one; other columns are not read.
+the whole sequence is one shingle; whole texts and words count however long; repeated rows are copies of one another; a null
+doc_id counts as larger than any other; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,17 +34,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
+from quizloom.llm.batches import slices
+from quizloom.llm.rows import settle
 from quizloom.operators.graph import connected_components
-from quizloom.session import cut, look_up, with_ids
+from quizloom.session import cut, look_up, release, spread, with_ids
 
 SHINGLE, LEAST_PERCENT = 5, 75
 BANDS, BAND_ROWS = 40, 5
 SAMPLES, SKETCH_BITS, LEAST_ESTIMATE = 1024, 2048, 0.68
-#: Classes of a bucket that meet in one task at most, twice.
-BUCKET_BLOCK = 512
+#: Sizes within this factor of one another are one step of the prefix join.
+SIZE_STEP = 1.1
 #: Bytes of text that are hashed together.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 _random = np.random.RandomState(20240501)
 _BYTE = _random.randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,23 +71,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of data, in order; words are runs without [\\x20\\x09-\\x0D], A-Z lower-cased."""
-    if len(data) > PIECE:
-        cut_at = next((i for i in range(PIECE - 1, 0, -1) if _SPACE[data[i]]), 0)
-        if not cut_at:  # one word as long as a piece
-            end = next((i for i in range(PIECE, len(data)) if _SPACE[data[i]]), len(data))
-            word = data[:end].lower().strip(b" \t\n\r\v\f")
-            own = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype=np.uint64)
-            return np.concatenate([own, word_hashes(data[end:])])
-        return np.concatenate([word_hashes(data[:cut_at]), word_hashes(data[cut_at:])])
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
-    gap = np.concatenate([[True], _SPACE[raw], [True]])
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.flatnonzero(~gap[:-1] & gap[1:])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[_LOWER[raw]] * _UP[: len(raw)], dtype=np.uint64)])
-    return _mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64) * _STEP[0])
+    """A 64-bit hash of each word of data, in order; words are runs without [\\x20\\x09-\\x0D], A-Z lower-cased.
+
+    A word's hash is a polynomial in its bytes, so a word that runs over pieces is the sum of its stretches.
+    """
+    out, open_sum, open_size = [], np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64)
+    for at in range(0, len(data), PIECE):
+        raw = np.frombuffer(data[at : at + PIECE], dtype=np.uint8)
+        gap = np.concatenate([[True], _SPACE[raw], [True]])
+        starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+        ends = np.flatnonzero(~gap[:-1] & gap[1:])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[_LOWER[raw]] * _UP[: len(raw)], dtype=np.uint64)])
+        values, sizes = (sums[ends] - sums[starts]) * _DOWN[starts], (ends - starts).astype(np.uint64)
+        if open_size[0]:
+            if len(starts) and starts[0] == 0:
+                values[:1] = values[:1] * np.uint64(pow(_BASE, int(open_size[0]), 1 << 64)) + open_sum
+                sizes[:1] += open_size
+            else:
+                values, sizes = np.concatenate([open_sum, values]), np.concatenate([open_size, sizes])
+            open_size = np.zeros(1, dtype=np.uint64)
+        if not _SPACE[raw[-1]]:
+            open_sum, open_size = values[-1:], sizes[-1:]
+            values, sizes = values[:-1], sizes[:-1]
+        out.append(_mix(values + sizes * _STEP[0]))
+    if open_size[0]:
+        out.append(_mix(open_sum + open_size * _STEP[0]))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -126,7 +145,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, bands for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, bands = [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py())
@@ -143,7 +162,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """digest, hashes (the set), sketch for every row of docs that has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, sets, sketches = [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py())
@@ -156,150 +175,145 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, hashes array<long>, sketch binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of rows with equal keys, as columns, from batches sorted by the keys."""
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        if not table.num_rows:
-            continue
-        change = np.zeros(table.num_rows - 1, dtype=bool)
-        for k in keys:
-            v = table.column(k).to_numpy()
-            change |= v[1:] != v[:-1]
-        ends = np.flatnonzero(change) + 1
-        last = int(ends[-1]) if len(ends) else 0
-        yield from _runs(table.slice(0, last), [0, *ends.tolist()])
-        held = table.slice(last)
-    if held is not None and held.num_rows:
-        yield from _runs(held, [0, held.num_rows])
-
-
-def _runs(table: pa.Table, edges: list[int]) -> Iterator[dict[str, np.ndarray]]:
-    if not table.num_rows:
-        return
-    columns = {}
-    for name in table.column_names:
-        c = table.column(name).combine_chunks()
-        if pa.types.is_binary(c.type):
-            width = len(c[0].as_py())
-            columns[name] = np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, width)
-        else:
-            columns[name] = c.to_numpy(zero_copy_only=False)
-    for a, b in zip(edges, edges[1:]):
-        yield {k: v[a:b] for k, v in columns.items()}
-
-
-def _near(sketches: np.ndarray) -> np.ndarray:
-    """Which sketches of a group differ in MOST_BITS bits at most."""
-    words = np.ascontiguousarray(sketches).view(np.uint64)
-    out = np.zeros((len(words), len(words)), dtype=bool)
-    for i in range(len(words)):
-        out[i] = np.bitwise_count(words[i] ^ words).sum(axis=1, dtype=np.int64) <= MOST_BITS
-    np.fill_diagonal(out, False)
-    return out
-
-
-def _stars(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of the best connected class with what is near it, then of the best of the rest, and so on."""
-    near, left, pairs = _near(group["sketch"]), np.ones(len(group["cls"]), dtype=bool), []
-    while True:
-        degree = near.sum(axis=1)
-        best = int(degree.argmax())
-        if not degree[best]:
-            return pairs
-        others = np.flatnonzero(near[best])
-        pairs += [(int(group["cls"][best]), int(group["cls"][o])) for o in others.tolist()]
-        left[others], left[best] = False, False
-        gone = ~left
-        near[gone], near[:, gone] = False, False
-
-
-def _crossing(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-    """Near pairs of different components for whom this is the first band they share."""
-    label = group["label"]
-    a, b = np.nonzero(np.triu(_near(group["sketch"]) & (label[:, None] != label[None, :])))
-    if not len(a):
-        return []
-    marks = np.ascontiguousarray(group["marks"]).view(np.uint32)
-    first = (marks[a] == marks[b]).argmax(axis=1) == group["band"][0]
-    return list(zip(group["cls"][a[first]].tolist(), group["cls"][b[first]].tolist()))
-
-
-def _pairs(rows: DataFrame, find) -> DataFrame:
-    """Distinct pairs a < b of cls that find names in the buckets of rows (key, m, cls, sketch, ...)."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.least(i, F.col("_own")) * F.col("_blocks") + F.greatest(i, F.col("_own")))
-    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", own).withColumn("block", F.explode(every)).drop("_blocks", "_own", "m")
-    dealt = dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "cls")
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (centre, cls; cut) whose sketches differ in MOST_BITS bits at most."""
+    met = spread(pairs, sketches.select(F.col("cls").alias("centre"), F.col("sketch").alias("_c")), "centre", pairs.count()).join(sketches.select("cls", "sketch"), "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-
-        def flush() -> pa.RecordBatch:
-            pairs = sorted(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-        for group in _groups(batches, ["key", "block"]):
-            if len(group["cls"]) > 1:
-                found.update((a, b) if a < b else (b, a) for a, b in find(group))
-            if len(found) > 100_000:
-                yield flush()
-        yield flush()
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for c in ("_c", "sketch"))
+            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            yield batch.select(["centre", "cls"]).filter(pa.array(near))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return met.select("centre", "cls", "_c", "sketch").mapInArrow(run, "centre long, cls long")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    left = full.select(F.col("cls").alias("a"), F.col("hashes").alias("_a"))
-    right = full.select(F.col("cls").alias("b"), F.col("hashes").alias("_b"))
+def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """a, b of the pairs (centre, cls; cut) whose full sets are similar enough."""
+    met = spread(pairs, full.select(F.col("cls").alias("centre"), F.col("hashes").alias("_a")), "centre", pairs.count())
+    met = met.join(full.select("cls", F.col("hashes").alias("_b")), "cls")
     both = F.size(F.array_intersect("_a", "_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))
+    met = met.select(F.col("centre").alias("a"), F.col("cls").alias("b"), both.alias("_i"), (F.size("_a") + F.size("_b")).alias("_n"))
     return met.where(100 * F.col("_i") >= LEAST_PERCENT * (F.col("_n") - F.col("_i"))).select("a", "b")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    signed = cut(sign(docs))
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    members = classes.select("cls", F.posexplode("bands").alias("band", "key"))
+def star_pairs(shared: DataFrame, total: int) -> DataFrame:
+    """Distinct (centre, cls): every bucket's classes with its centre. shared: key, m, cls."""
+    busy = shared.groupBy("cls").agg(F.sum("m").alias("busy"))
+    centres = shared.join(busy, "cls").groupBy("key").agg(F.max(F.struct("busy", "cls"))["cls"].alias("centre"), F.count("*").alias("n"))
+    met = look_up(shared.select("key", "cls"), centres, "key", "n", ["centre"], total)
+    return met.where("cls <> centre").select("centre", "cls").distinct()
+
+
+def prefix_pairs(open_classes: DataFrame, full: DataFrame) -> DataFrame:
+    """Distinct (centre, cls) of different labels whose sets can be similar enough. open_classes: cls, label.
+
+    With sizes n and m the sets share at least 3/7 of (n + m). A set's shingle at place p (from 0, rare ones first) can be
+    the first that it shares only with sets of (4n - 7p) / 3 shingles at most.
+    """
+    rows = open_classes.join(full, "cls").select("cls", "label", F.size("hashes").alias("n"), F.explode("hashes").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(often, "t")  # a class's shingles are distinct, so no class fills a key; adaptive execution splits common shingles
+    # places are counted from the end, as what only one class holds stands before everything else
+    place = F.col("n") - F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("t")))
+    rows = rows.withColumn("p", place).where(4 * F.col("p") <= F.col("n"))
+    step = lambda size: F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    reach = F.floor((4 * F.col("n") - 7 * F.col("p")) / 3)
+    rows = rows.withColumns({"own": step(F.col("n")), "reach": reach, "other": F.explode(F.sequence(step(F.ceil(F.col("n") * 0.75)), step(F.greatest(reach, F.ceil(F.col("n") * 0.75)))))})
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("t", "low", "high", "cls", "label", "n", "own", "reach")
+    rows = cut(rows)
+    key = ["t", "low", "high"]
+    labels = rows.groupBy(*key, "label").agg(F.count("*").alias("k"))
+    # the label that most rows of a key have takes one side only, so a large component is not compared with itself
+    major = cut(labels.groupBy(*key).agg(F.max(F.struct("k", "label"))["label"].alias("major"), F.count("*").alias("n_labels")).where("n_labels > 1").drop("n_labels"))
+    left = rows.join(major, key).where("label <> major").select(*key, "major", *[F.col(c).alias(f"_{c}") for c in ("cls", "label", "n", "own", "reach")])
+    differ = (F.col("label") != F.col("_label")) & ((F.col("label") == F.col("major")) | (F.col("_cls") < F.col("cls")))
+    steps = (F.least("own", "_own") == F.col("low")) & (F.greatest("own", "_own") == F.col("high"))
+    met = left.join(rows, key).where(differ & steps & (F.col("n") <= F.col("_reach")) & (F.col("_n") <= F.col("reach")))
+    return met.select(F.least("_cls", "cls").alias("centre"), F.greatest("_cls", "cls").alias("cls")).distinct()
+
+
+def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, component for the classes that are linked with another. classes: cls, digest, first, bands, some."""
+    members = classes.select("cls", F.explode("bands").alias("key"))
+    n_members = BANDS * classes.count()
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    # joins of exchanged inputs, whose large partitions adaptive execution splits
-    shared = cut(members.join(buckets, "key"))
-    involved = shared.select("cls").distinct()
-    named = cut(classes.join(involved, "cls", "left_semi").select("cls", "digest", "first", "bands"))
-    texts = with_ids(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), named.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
-    if named.where("first IS NULL").isEmpty() is False:
+    shared = cut(look_up(members, buckets, "key", "m", ["m"], n_members).where("m IS NOT NULL"))
+    total = shared.count()
+    named = cut(classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "some"))
+    texts = with_ids(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), named.select(F.col("some").alias("doc_id")).distinct(), "doc_id")
+    if not named.where("some IS NULL").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
     full = cut(full_sets(texts).dropDuplicates(["digest"]).join(named.select("digest", "cls"), "digest").select("cls", "hashes", "sketch"))
-    sketches = full.select("cls", "sketch")
-    links = cut(_confirmed(_pairs(shared.select("key", "m", "cls").join(sketches, "cls"), _stars), full))
+    stars = cut(star_pairs(shared, total))
+    near = cut(near_pairs(stars, full.select("cls", "sketch")))
+    links = cut(confirmed(near, full))
     found = connected_components(links)
-    # what is left: buckets with more than one component
-    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
     labelled = cut(labelled)
-    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("m").alias("m")).where("_low < _high").select("key", "m")
-    mixed = labelled.drop("m").join(split, "key")
-    marks = named.select("cls", F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(1 << 32))), 8, "0")), "")).alias("marks"))
-    more = cut(_confirmed(_pairs(mixed.join(sketches, "cls").join(marks, "cls"), _crossing), full))
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
-    linked = found.withColumnRenamed("node", "cls").join(classes.select("cls", "digest", "first", "copies"), "cls")
-    linked = cut(linked)
-    roots = linked.groupBy("component").agg(F.min("first").alias("smallest"))
-    linked = linked.join(roots, "component")
-    alone = classes.join(found.select(F.col("node").alias("cls")), "cls", "left_anti").where("copies > 1").select("digest", "copies", F.col("first").alias("smallest"))
-    groups = cut(linked.select("digest", "copies", "smallest").unionByName(alone))
-    out = look_up(signed.select("doc_id", "n_shingles", "digest"), groups, "digest", "copies", ["smallest"], signed.count())
+    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("m")).where("_low < _high").select("key", "m")
+    open_classes = cut(look_up(labelled, split, "key", "m", ["m"], total).where("m IS NOT NULL").select("cls", "label").distinct())
+    if not open_classes.isEmpty():
+        rest = cut(prefix_pairs(open_classes, full))
+        more = cut(confirmed(rest, full))
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
+        release(rest, more)
+    release(buckets, shared, named, full, stars, near, links, labelled, open_classes)
+    return found
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest, smallest and keeper for every row of docs.
+
+    smallest is the least doc_id of the row's group, and keeper the digest that stays with it; both are null for rows that no
+    other row resembles.
+    """
+    signed = cut(sign(docs))
+    nulls_last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(nulls_last)["doc_id"].alias("some"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    n_rows, found = signed.count(), linked_classes(classes, docs)
+    linked = cut(found.withColumnRenamed("node", "cls").join(classes.select("cls", "digest", "some", "copies"), "cls"))
+    least = F.min(F.struct(F.col("some").isNull().alias("none"), F.col("some").alias("smallest"), F.col("digest").alias("keeper")))
+    roots = linked.groupBy("component").agg(least.alias("_r"), F.count("*").alias("n")).select("component", "n", "_r.smallest", "_r.keeper")
+    linked = look_up(linked, roots, "component", "n", ["smallest", "keeper"], n_rows)
+    alone = classes.join(found.select(F.col("node").alias("cls")), "cls", "left_anti").where("copies > 1")
+    groups = linked.select("digest", "copies", "smallest", "keeper").unionByName(alone.select("digest", "copies", F.col("some").alias("smallest"), F.col("digest").alias("keeper")))
+    groups = cut(groups)
+    release(classes)
+    return look_up(signed.select("doc_id", "n_shingles", "digest"), groups, "digest", "copies", ["smallest", "keeper"], n_rows)
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
     component = F.coalesce("smallest", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return grouped(docs).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keepers(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs: one row of each group, and every row without words.
+
+    A row is known by its doc_id and its set's digest, so a row that shares its id with a dropped one is judged by itself.
+    Rows equal in both are one group's copies: the least of them (by the columns) stays.
+    """
+    decided = cut(grouped(docs).where("keeper IS NOT NULL"))
+    stays = F.col("doc_id").eqNullSafe(F.col("smallest")) & (F.col("digest") == F.col("keeper"))
+    rows = decided.groupBy("doc_id", "digest").agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    return settle(docs, cut(rows.select("doc_id", F.hex("digest").alias("row_key"), "stays")), columns, with_digest)
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """docs with row_key, the digest of each row's set in hexadecimal (null without words)."""
+    kinds = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest().upper() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], [*batch.schema.names, "row_key"])
+
+    return docs.mapInArrow(run, StructType([*kinds.fields, StructField("row_key", StringType())]))
 
 
 NEAR_SQL = r"""

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quizloom.llm import bpe, chat, curriculum, exact, media, near, quality, queries, shards, text_stats, toxicity, urls
@@ -92,17 +93,51 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near.components(none).count() == 0
 
 
-def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near, "BUCKET_BLOCK", 8)
-    r = random.Random(5)
-    words = [f"w{i}" for i in range(120)]
-    rows = []
-    for k in range(60):
+def near_group(size, seed=5):
+    """(cls, bands, shingles) of a text of 120 words and size - 1 copies with one to eleven words replaced."""
+    r, words, out = random.Random(seed), [f"w{i}" for i in range(120)], []
+    for k in range(size):
         own = list(words)
-        for _ in range(k % 6):
-            own[r.randrange(120)] = f"e{k}x{r.randint(0, 99)}"
-        rows.append((k, " ".join(own)))
-    assert near_rows(near.components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_near(rows)
+        for _ in range(0 if k == size // 2 else 1 + r.randrange(11)):
+            own[r.randrange(120)] = f"e{k}x{r.randint(0, 10**6)}"
+        hashes = near.shingles(" ".join(own))
+        out.append((k, near.band_keys(hashes).tolist(), hashes.view(np.int64).tolist()))
+    return out
+
+
+@pytest.mark.parametrize("size", [500, 2000, 4500])
+def test_pairs_grow_in_proportion_to_a_group(spark, size):
+    """Of a group with many members under the threshold, neither stars nor the prefix join name all pairs."""
+    rows = near_group(size)
+    members = spark.createDataFrame([(k, i) for i, bands, _ in rows for k in bands], "key long, cls long")
+    shared = members.join(members.groupBy("key").count().withColumnRenamed("count", "m").where("m > 1"), "key").select("key", "m", "cls").cache()
+    assert near.star_pairs(shared, shared.count()).count() <= 12 * size
+    full = spark.createDataFrame([(i, x) for i, _, x in rows], "cls long, hashes array<long>")
+    apart = full.select("cls", F.col("cls").alias("label"))
+    linked = {i for i, _, x in rows if 100 * len(set(x) & set(rows[size // 2][2])) >= 75 * len(set(x) | set(rows[size // 2][2]))}
+    labelled = apart.withColumn("label", F.when(F.col("cls").isin(sorted(linked)), 0).otherwise(F.col("label") + 1))
+    assert size / 4 < len(linked) < size and near.prefix_pairs(labelled, full).count() <= size
+
+
+def test_prefix_join_finds_every_link(spark):
+    """Without stars, the join alone finds all pairs at the threshold, whatever the sizes."""
+    r = random.Random(3)
+    rows = [(k, sorted(x)) for k in range(400) for x in [{r.randrange(60 * (k % 7), 60 * (k % 7) + 40 + k % 30) for _ in range(r.randint(1, 60))}]]
+    full = spark.createDataFrame(rows, "cls long, hashes array<long>")
+    got = {(x["centre"], x["cls"]) for x in near.prefix_pairs(full.select("cls", F.col("cls").alias("label")), full).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))}
+    assert want and want <= got
+
+
+def test_keepers_know_rows_by_id_and_text(spark, none):
+    rows = [(1, "A"), (5, "A"), (5, "B"), (9, "C"), (None, "C"), (None, "C"), (None, "D"), (None, "D"), (7, "E"), (7, "E"), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS + ", row_key string")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = lambda f: sorted((str(r["doc_id"]), str(r["text"])) for r in f(docs, columns).collect())
+    same = [("1", "A"), ("5", "B"), ("7", "E"), ("9", "C"), ("None", "D")]
+    assert kept(near.keepers) == sorted([*same, ("8", ""), ("8", ""), ("None", "None")])
+    assert kept(exact.keepers) == sorted([*same, ("8", "")])
+    assert near.keepers(none, columns).count() == 0 and exact.keepers(none, columns).count() == 0
 
 
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
@@ -111,6 +146,9 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     whole = near.word_hashes(data)
     monkeypatch.setattr(near, "PIECE", 64)
     assert (near.word_hashes(data) == whole).all() and len(whole) == len(data.split())
+    one = near.word_hashes(b"x" * 63 + b" " + b"Y" * 300 + b" yy")
+    monkeypatch.undo()
+    assert (one == near.word_hashes(b"x" * 63 + b" " + b"y" * 300 + b" YY")).all()
 
 
 def test_odd_sketch_estimates_similarity():

@@ -34,3 +34,21 @@ def test_stages(spark, sf, tmp_path):
 
 def test_threshold_is_the_contracts():
     assert quality.GOOD == 0.7 and [n for n, _ in pipeline.STAGES][0] == "quality classifier" and len(pipeline.STAGES) == 5
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    """Repeated and null ids, null columns, empty texts, clashing columns and an empty table, stage by stage."""
+    rows = [(1, "A b", "en", "s", 1), (5, "A b", "en", None, None), (5, "B c", None, "s", 1), (5, "B c", None, "s", 1), (None, "A b", "en", "s", 1), (None, None, None, None, None), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, taken string")
+    stage = dict(pipeline.STAGES)
+    ids = lambda df: sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+    unique = stage["exact dedup"](spark, docs, sf)
+    assert unique.columns == pipeline.COLUMNS and ids(unique) == [("1", "A b"), ("5", "B c"), ("6", "")]
+    apart = stage["MinHash near-dedup"](spark, docs, sf)
+    assert apart.columns == pipeline.COLUMNS and ids(apart) == [("1", "A b"), ("5", "B c"), ("6", ""), ("None", "")]
+    mixed = stage["mixing sources"](spark, docs, sf)
+    assert mixed.columns == pipeline.COLUMNS and all(t for _, t in ids(mixed))
+    assert stage["BPE encoding"](spark, docs, sf).count() == len(rows)
+    assert stage["quality classifier"](spark, docs, sf).columns == pipeline.COLUMNS
+    for name, f in pipeline.STAGES:
+        assert f(spark, docs.limit(0), sf).count() == 0, name
