@@ -197,12 +197,11 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return met.where(100 * F.col("_i") >= LEAST_PERCENT * (F.col("_n") - F.col("_i"))).select("a", "b")
 
 
-def star_pairs(shared: DataFrame, total: int) -> DataFrame:
+def star_pairs(shared: DataFrame) -> DataFrame:
     """Distinct (centre, cls): every bucket's classes with its centre. shared: key, m, cls."""
     busy = shared.groupBy("cls").agg(F.sum("m").alias("busy"))
-    centres = shared.join(busy, "cls").groupBy("key").agg(F.max(F.struct("busy", "cls"))["cls"].alias("centre"), F.count("*").alias("n"))
-    met = look_up(shared.select("key", "cls"), centres, "key", "n", ["centre"], total)
-    return met.where("cls <> centre").select("centre", "cls").distinct()
+    centres = cut(shared.join(busy, "cls").groupBy("key").agg(F.max(F.struct("busy", "cls"))["cls"].alias("centre")))
+    return shared.join(centres, "key").where("cls <> centre").select("centre", "cls").distinct()
 
 
 def prefix_pairs(open_classes: DataFrame, full: DataFrame) -> DataFrame:
@@ -236,30 +235,30 @@ def prefix_pairs(open_classes: DataFrame, full: DataFrame) -> DataFrame:
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component for the classes that are linked with another. classes: cls, digest, first, bands, some."""
     members = classes.select("cls", F.explode("bands").alias("key"))
-    n_members = BANDS * classes.count()
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    shared = cut(look_up(members, buckets, "key", "m", ["m"], n_members).where("m IS NOT NULL"))
-    total = shared.count()
+    # buckets' keys join tables that are read from files: adaptive execution splits a large bucket's partition
+    shared = cut(members.join(buckets, "key"))
     named = cut(classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "digest", "some"))
     texts = with_ids(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), named.select(F.col("some").alias("doc_id")).distinct(), "doc_id")
     if not named.where("some IS NULL").isEmpty():
         texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
     full = cut(full_sets(texts).dropDuplicates(["digest"]).join(named.select("digest", "cls"), "digest").select("cls", "hashes", "sketch"))
-    stars = cut(star_pairs(shared, total))
+    stars = cut(star_pairs(shared))
     near = cut(near_pairs(stars, full.select("cls", "sketch")))
     links = cut(confirmed(near, full))
     found = connected_components(links)
     labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
     labelled = cut(labelled)
-    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("m")).where("_low < _high").select("key", "m")
-    open_classes = cut(look_up(labelled, split, "key", "m", ["m"], total).where("m IS NOT NULL").select("cls", "label").distinct())
+    split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
+    split = cut(split)
+    open_classes = cut(labelled.join(split, "key").select("cls", "label").distinct())
     if not open_classes.isEmpty():
         rest = cut(prefix_pairs(open_classes, full))
         more = cut(confirmed(rest, full))
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
         release(rest, more)
-    release(buckets, shared, named, full, stars, near, links, labelled, open_classes)
+    release(buckets, shared, named, full, stars, near, links, labelled, split, open_classes)
     return found
 
 
