@@ -3,7 +3,8 @@
 Each word is merged over one contiguous array of part boundaries with the rank of every adjacent pair beside it: scan for
 the smallest rank (the leftmost on ties), delete that boundary, refresh the two neighbouring ranks, until no pair has a
 rank. Words are short, so the scan beats a heap; words of one length are merged side by side as rows of one matrix. Words
-repeat, so each worker keeps what it has merged in a bounded memo.
+repeat, so each worker keeps what it has merged in a bounded memo. Words of more than MEMO_BYTES bytes are merged one by one,
+with a heap in place of the scan, as the scan would cost the square of their length; the merges are the same.
 
 Contract of the cases: a null text counts as empty; an empty text has no tokens and decodes to the empty text; a text of
 any length is encoded whole; repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
@@ -19,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from quizloom.llm.batches import slices
+
 #: Words kept by a worker's memo before it is emptied.
 MEMO_WORDS = 150_000
 #: Words of more UTF-8 bytes than this are merged alone and not kept.
@@ -48,6 +50,62 @@ def byte_chars() -> list[str]:
     return out
 
 
+#: Letters and digits that Unicode 16 added to this Python's 15.1, as first and last code point. The library's
+#: words are of that version.
+ADDED = {
+    "L": [
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+        (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+        (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+#: First and last capital that Unicode 16 and 17 added, and the first one's small letter. The library's small
+#: letters are of version 17.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+LOWER = {first + i: small + i for first, last, small in CAPITALS for i in range(last - first + 1)} | {ord("Σ"): ord("σ")}
+_capitals = re.compile("[" + "".join(map(chr, LOWER)) + "]").search
+#: White_Space, as first and last code point.
+SPACES = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+
+
+def class_ranges(kind: str, end: int) -> str:
+    """The code points below end whose general category begins with kind (s: white space), as ranges of a character class."""
+    more = SPACES if kind == "s" else ADDED.get(kind, [])
+    own = {c for first, last in more for c in range(first, last + 1) if c < end}
+    if kind != "s":
+        own |= {c for c in range(end) if unicodedata.category(chr(c))[0] == kind}
+    out, begin = [], None
+    for c in range(end + 1):
+        if c in own:
+            begin = c if begin is None else begin
+        elif begin is not None:
+            out.append(f"{re.escape(chr(begin))}-{re.escape(chr(c - 1))}")
+            begin = None
+    return "".join(out)
+
+
+def with_classes(pattern: str, end: int) -> str:
+    """pattern with \\p{X} and \\s written out for the code points below end; X is the first letter of a general category."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        named = re.match(r"\\p\{(\w)\}|\\(s)", pattern[i:])
+        if named:
+            ranges = class_ranges(named[1] or named[2], end)
+            out.append(ranges if inside else f"[{ranges}]")
+            i += len(named[0])
+            continue
+        step = 2 if pattern[i] == "\\" else 1
+        if pattern[i] in "[]":
+            inside = pattern[i] == "["
+        out.append(pattern[i : i + step])
+        i += step
+    return "".join(out)
+
+
 class WordBpe:
     """A tokenizer read from the text of a tokenizers JSON file whose model is BPE with a word-end suffix."""
 
@@ -68,8 +126,8 @@ class WordBpe:
         self.last = [self.vocab[c + self.suffix] for c in chars]
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern).findall
-        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+").findall
+        # for texts of code points below each end: classes of fewer ranges are faster
+        self.ascii_words, self.plane_words, self.words = (re.compile(with_classes(pattern, end)).findall for end in (0x80, 0x10000, 0x110000))
         self.keys = np.array(sorted(self.ranks), dtype=np.int64)
         self.values = np.array([self.ranks[k] for k in self.keys.tolist()], dtype=np.int64)
         self.inner_ids, self.last_ids = np.array(self.inner, dtype=np.int64), np.array(self.last, dtype=np.int64)
@@ -191,7 +249,12 @@ class WordBpe:
         """The words of a text without special tokens: composed, white space dropped, lower case character by character."""
         if text.isascii():
             return self.ascii_words(text.lower())
-        return self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text)
+        if _capitals(text):
+            text = text.translate(LOWER)
+        text = text.lower()
+        below = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return self.plane_words(text) if below else self.words(text)
 
     def encoded(self, texts: list[str]) -> list[str]:
         """For each text, its ids joined by spaces."""
@@ -256,7 +319,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: list[str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, text_sha, ids = [], [], [], []
             for joined in encoded_in_slices(bpe, batch.column("text")):
                 n.append(joined.count(" ") + 1 if joined else 0)

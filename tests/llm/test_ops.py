@@ -401,6 +401,15 @@ def test_bpe_on_random_texts(library):
         assert own.encode(text) == ids and own.decoded(" ".join(map(str, ids))) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_on_every_code_point(library):
+    own = bpe.WordBpe(open(queries.word_tokenizer(), encoding="utf-8").read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for i in range(0, len(points), 8192):
+        texts = [f"a{c}b 1{c}2 {c}{c}. x{c}" for c in points[i : i + 8192]]
+        want = [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert own.encoded(texts) == want
+
+
 def test_url_rules(spark):
     cases = [
         ("http://A.Example.ORG/es/1", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
