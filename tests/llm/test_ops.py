@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from conftest import SF
 from tokenizers import Tokenizer
 
 from quizloom.llm import bpe, chat, curriculum, exact, media, near, quality, queries, shards, text_stats, toxicity, urls
@@ -249,6 +250,73 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r["score"] for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def brute_toxicity(docs, labels):
+    """Scores by dense loops over all labelled rows that are not held out; docs and labels: {id: text}, {id: 0 or 1}."""
+    import re
+
+    bag = lambda t: {w: re.findall(r"\w+", (t or "").lower()).count(w) for w in set(re.findall(r"\w+", (t or "").lower()))}
+    known = [i for i in sorted(labels) if zlib.crc32(str(i).encode()) % 5]
+    bags, n = {i: bag(t) for i, t in docs.items()}, len(known)
+    n1 = sum(labels[i] for i in known)
+    h = lambda p: sum(-x * math.log(x) for x in (p, 1 - p) if x > 0)
+    weight = {}
+    for t in {t for i in known for t in bags[i]}:
+        c1, c0 = (sum(t in bags[i] for i in known if labels[i] == y) for y in (1, 0))
+        if c1 + c0 > 1:
+            p1, p0 = c1 / n1, c0 / (n - n1)
+            weight[t] = (math.log((1 + n) / (1 + c1 + c0)) + 1) * max(0.0, h((p1 + p0) / 2) - (h(p1) + h(p0)) / 2)
+
+    def vector(i):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in bags[i].items() if weight.get(t, 0) > 1e-12}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in docs}
+    prior, doubt = (n1 + 0.5) / (n + 1), toxicity.DOUBT**toxicity.POWER
+
+    def vote(i, others):
+        near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), labels[j]) for j in others), reverse=True)[: toxicity.K]
+        w = [s**toxicity.POWER for s, _ in near]
+        p = (sum(x * y for x, (_, y) in zip(w, near)) + prior * doubt) / (sum(w) + doubt)
+        return math.log(p / (1 - p))
+
+    x, y = np.array([vote(i, [j for j in known if j != i]) for i in known]), np.array([labels[i] for i in known])
+    a, b = 1.0, 0.0
+    for _ in range(20_000):  # plain descent to the same optimum
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a - 2e-3 * (((p - y) * x).sum() + 4 * (a - 1)), b - 2e-3 * ((p - y).sum() + 4 * b)
+    return {i: 1 / (1 + math.exp(-(a * vote(i, known) + b))) if vectors[i] else prior for i in docs}
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(4)
+    texts = {i: " ".join(f"w{int(r.expovariate(0.03))}" for _ in range(40)) + (" Moron, idiot" if i % 5 == 0 else " idiot!" if i % 11 == 0 else "") for i in range(160)} | {200: None, 201: "unseen"}
+    toxic = {i: int(i % 5 == 0) for i in range(160)}
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    want = brute_toxicity(texts, toxic)
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-4
+
+
+def test_toxicity_recall_on_held_out_labels(spark):
+    """On sf0.1, a tenth of the toxic labels marks texts without any word of the others' kind."""
+    folder = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.classify(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    assert sum(r["predicted"] for r in rows if r["toxic"]) >= 0.9 * sum(r["toxic"] for r in rows)
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.01 * len(rows)
+
+
+def test_classifiers_on_odd_labels(spark):
+    docs, _, truth = labelled(spark, 60)
+    twice = spark.createDataFrame([(i, 1, t) for i, _, t in truth] + [(i, 1, 0) for i, _, _ in truth] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame([(i, 1, t) for i, _, t in truth], "doc_id long, quality int, toxic int")
+    scores = lambda f, x: sorted((r["doc_id"], round(r["score"], 12)) for r in f.classify(docs, x).collect())
+    assert scores(toxicity, twice) == scores(toxicity, once)
+    assert len({s for _, s in scores(quality, once)}) == 1 and scores(quality, once)[0][1] > 0.9
+    assert len({s for _, s in scores(toxicity, once.withColumn("toxic", F.lit(0)))}) == 1
+
+
 def test_block_max_search_is_exact():
     r = np.random.RandomState(6)
     vectors = []
