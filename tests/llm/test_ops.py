@@ -436,6 +436,25 @@ def test_chat_reads_back(spark):
     assert chat.digest(chat.read_back(chat.format_conversations(df.limit(0)))).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """Work on 10 times the turns takes about 10 times the time; clashing columns are not read; long texts count whole."""
+    import time
+
+    def rows(n):
+        return spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é text "), "id").alias("text"), F.lit("x").alias("turns"), F.lit(1).alias("starts"), F.lit(2).alias("blocks"))
+
+    took = {}
+    for n in (300, 4_000, 40_000):
+        began = time.time()
+        got = chat.read_back(chat.format_conversations(rows(n))).select(F.size("turns").alias("n"), "loss", "n_blocks").first()
+        took[n] = time.time() - began
+        assert got["n"] == n and got["loss"] == "".join(f"é text {i}" for i in range(n) if i % 3 == 2)
+    assert took[40_000] < 25 * max(took[4_000], 0.5), took
+    long = spark.createDataFrame([(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", "</turn>é" * 300_000)], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.read_back(chat.format_conversations(long))).first()
+    assert got["loss_sha256"] == hashlib.sha256(("</turn>é" * 300_000).encode()).hexdigest() and got["n_turns"] == 2
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -490,10 +509,32 @@ def test_url_rules(spark):
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
 
 
-def test_url_model_fits_its_table():
-    bias, weights = urls.fit()
-    score = lambda u: bias + sum(weights[urls._bucket(g)] for g in urls._grams(u)) / len(urls._grams(u))
-    assert all(score(u) > 0 for u in urls.BLOCKED_URLS) and all(score(urls._host_path(u)) < 0 for u in urls.ALLOWED_URLS)
+def test_url_model_on_held_out_urls():
+    """A quarter of the names, with all that was built from them, is kept from the model."""
+    table = urls.labelled_urls()
+    held = lambda host: zlib.crc32(host.encode()) % 4 == 0
+    bias, weights = urls.fit([x for x in table if not held(x[1])])
+    blocked = [(label, bias + sum(weights[b] for b in urls.buckets_of(host, path)) > 0) for label, host, path in table if held(host)]
+    caught, wrong = [b for label, b in blocked if label], [b for label, b in blocked if not label]
+    assert len(caught) > 60 and sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.05 * len(wrong)
+
+
+def test_url_model_on_pages(spark):
+    """Site names of other words, half of them spam's, under ordinary domains; the model saw none of these hosts."""
+    bad = ["bestpoker-win", "freeslots", "cheap-viagra-shop", "adultcams", "click-ads", "spamlinks", "crack-download", "fastloan-cash"]
+    good = ["ththing", "tionsh", "rivergarden", "old-bridge", "greenhill", "northern-lights", "my-notes", "saint-mary"]
+    rows = [(k, f"https://{start}{name}.example.{end}/{lang}/{k}{tail}") for k, (start, name, end, lang, tail) in enumerate((s, n, e, "en", t) for s in ("", "www.", "m.") for n in bad + good for e in ("net",) for t in ("", "/", ".html?page=2"))]
+    got = {r["host"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[]).collect()}
+    wrong = [h for h, v in got.items() if v != ("block" if any(b in h for b in bad) else "allow")]
+    assert len(got) == 48 and len(wrong) <= 3, wrong
+
+
+def test_url_filter_on_odd_rows(spark):
+    long = "http://a.net/" + "path/" * 30_000
+    rows = [(1, long), (1, long), (None, "http://x.example.net"), (2, None), (3, "://"), (4, "ftp://ÉX.com/dé")]
+    got = sorted((str(r["page_id"]), r["host"], len(r["path"]), r["verdict"]) for r in urls.judge(spark.createDataFrame([(*r, "h", 5) for r in rows], "page_id long, url string, host string, score int")).collect())
+    assert [(i, h, n) for i, h, n, _ in got] == [("1", "a.net", 150_001), ("1", "a.net", 150_001), ("2", "", 0), ("3", "", 0), ("4", "Éx.com", 3), ("None", "x.example.net", 0)]
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
