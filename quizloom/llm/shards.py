@@ -1,7 +1,7 @@
 """Sharding by histogram sort, in DataFrame expressions only, under the law of near-equal bytes.
 
 Documents are ordered by a key of KEY_DIGITS hexadecimal digits: the crc32 of the text, then a one-to-one scramble of
-doc_id, so equal texts stand together and yet can be divided. Candidate boundaries are key prefixes. Each round counts the
+doc_id, then one of a row's number, so equal texts stand together and yet can be divided, even if their ids are equal too. Candidate boundaries are key prefixes. Each round counts the
 exact bytes and rows below the candidates across all partitions, and only the intervals that hold a splitter not yet met
 within tolerance, or too many rows for one task, get finer candidates. When all splitters meet the tolerance, documents
 are exchanged once, into parts of known sizes, so that slots follow from the counts below each part.
@@ -10,7 +10,7 @@ What the driver holds is the counts of the candidates: at most FAN for each inte
 shards + PARTS intervals are refined, whatever the input's size.
 
 Contract of the cases: a null text has no bytes (size 1) and the crc32 of the empty text; a null doc_id sorts like any other
-key; rows equal in text and doc_id share a key and stay in one shard; very long texts count whole, and one that is larger
+key; rows equal in text and doc_id are interchangeable, and any of them may be the ones at a shard's edge; very long texts count whole, and one that is larger
 than a shard's share makes its shard larger; an empty table gives an empty one; other columns are not read.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from quizloom.session import cut
 
-KEY_DIGITS, DIGITS = 24, 2
+KEY_DIGITS, DIGITS = 40, 2
 FAN = 16**DIGITS
 #: Parts into which the documents are exchanged, at least (and at least four for each shuffle partition); no part holds
 #: more than twice its share unless one key does.
@@ -37,7 +37,8 @@ TOLERANCE = 0.002
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
-    key = F.concat(F.lpad(F.lower(F.hex(crc)), 8, "0"), F.lpad(F.lower(F.hex(F.xxhash64("doc_id"))), 16, "0"))
+    digits = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x))), 16, "0")
+    key = F.concat(F.lpad(F.lower(F.hex(crc)), 8, "0"), digits(F.col("doc_id")), digits(F.monotonically_increasing_id()))
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), key.alias("key"))
 
 
