@@ -6,11 +6,11 @@ Taking: a source's documents stand in an order fixed by a digest of doc_id. Its
 of one; each document is taken once a pass, and in the last pass up to the word at which the target is met.
 Positions: each source's weight over training time t in [0, 1] is a straight line around its target (SLOPES, repeating), so
 its cumulative demand is target * (t + slope * (t * t - t)). A take's position is where that demand, inverted, meets the middle
-of the words its source has given before and with it. The result is range-sorted by position.
+of the words its source has given before and with it. mix tells the first take's; sequence has a row for every take. Both are
+range-sorted by position.
 
-Scale: a running sum over a source would put a third of all rows into one task. Each source is dealt into BUCKETS ranges of
-the digest; sums of the ranges are added up (BUCKETS rows a source), and within a range the running sum is exact. Ranges
-get finer with the session's shuffle partitions.
+Scale: a running sum over a source would put a third of all rows into one task. Each source is dealt into ranges of
+the digest (16**BUCKET_DIGITS of them); sums of the ranges are added up, and within a range the running sum is exact.
 
 Contract of the cases: a null or wordless text has size 0 and is taken 0 times; what is not taken has no position; a
 null source is a source; rows that share a doc_id are ordered by size and digest of the text, so reruns agree; very long

@@ -188,12 +188,29 @@ def test_shards_of_one_text_and_of_odd_rows(spark, odd, none):
     copies = spark.createDataFrame([(i, "same text") for i in range(3000)], "doc_id long, text string")
     rows = shards.shard(copies).collect()
     check_shards(rows, {i: "same text" for i in range(3000)}, 8, 100)
+    nameless = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    check_shards(shards.shard(nameless).collect(), {None: "same text"}, 8, 100)
     rows = shards.shard(odd).collect()
     assert len(rows) == len(ODD)
     check_shards(rows, {r[0]: r[1] for r in ODD}, 8)
     assert shards.shard(none).count() == 0
 
 
+def test_shards_equal_brute_force(docs, texts):
+    """Shards are runs of the documents in the order of their keys, with edges at the document nearest to each target."""
+    key = {r["doc_id"]: r["key"] for r in shards.keyed(docs).collect()}
+    rows = {r["doc_id"]: r for r in shards.shard(docs).collect()}
+    order = sorted(texts, key=lambda i: key[i][:24])
+    assert [(rows[i]["shard"], rows[i]["slot"]) for i in order] == sorted((r["shard"], r["slot"]) for r in rows.values())
+    size = {i: len((t or "").encode()) + 1 for i, t in texts.items()}
+    total, below = sum(size.values()), 0
+    for k, (a, b) in enumerate(zip(order, order[1:])):
+        below += size[a]
+        if rows[a]["shard"] != rows[b]["shard"]:
+            target = total * rows[b]["shard"] / 8
+            assert abs(below - target) <= max(size[a], size[b], shards.TOLERANCE * total / 8), (k, below, target)
+
+
 def test_mix_meets_targets(spark, docs, odd, none):
     for df in (docs, odd, none):
         rows = curriculum.mix(df).collect()
