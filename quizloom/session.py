@@ -36,19 +36,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "cut")
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
+    """df written to the shared checkpoint folder and read again: computed once, and safe when executors are lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables made by cut; nothing that is still to be computed may read them."""
+    """Deletes the files of tables made by cut; nothing that is still to be computed may read them."""
     for df in tables:
-        delete_path(df.sparkSession, df._cut_path)
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete_path(df.sparkSession, file.get())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +97,7 @@ def spread(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame
     """
     line = max(1024, total // HOT_SHARE)
     parts = F.ceil(F.col("_n") / line).cast("int").alias("_parts")
-    hot = F.broadcast(cut(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > line).select(key, parts)))
+    hot = F.broadcast(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > line).select(key, parts))
     n = F.coalesce(F.col("_parts"), F.lit(1))
     many = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("_parts")
     one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
