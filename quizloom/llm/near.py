@@ -248,7 +248,6 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     links = cut(confirmed(near, full))
     found = connected_components(links)
     labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
-    labelled = cut(labelled)
     split = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
     split = cut(split)
     open_classes = cut(labelled.join(split, "key").select("cls", "label").distinct())
@@ -258,7 +257,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
         release(rest, more)
-    release(buckets, shared, named, full, stars, near, links, labelled, split, open_classes)
+    release(buckets, shared, named, full, stars, near, links, split, open_classes)
     return found
 
 
