@@ -162,10 +162,10 @@ def short_numbers(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select("o_orderkey", T.short_number(F.col("o_totalprice") / 10000).alias("shown"))
 
 
-@query("""WITH n AS (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer WHERE c_custkey < 400)
-SELECT a.c_custkey AS a, b.c_custkey AS b FROM n a JOIN n b ON a.c_custkey < b.c_custkey AND a.c_custkey % 40 = b.c_custkey % 40 WHERE levenshtein(a.k, b.k) <= 1""")
+@query("""WITH n AS (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS k FROM customer)
+SELECT a.c_custkey AS a, b.c_custkey AS b FROM n a JOIN n b ON a.c_custkey < b.c_custkey WHERE levenshtein(a.k, b.k) <= 1""")
 def names_too_close(spark, sf_dir):
-    """All pairs of customers whose name keys are at most one edit apart. The SQL above compares a part of them only.
+    """All pairs of customers whose name keys are at most one edit apart.
 
     Two such keys share themselves or a form with one character left out, so distinct keys meet in an equi-join on these
     forms and are verified; then the customers of each key take the places of keys.
@@ -221,10 +221,10 @@ def moon_phases(spark, sf_dir):
     return days.select(F.col("day").cast("string").alias("day"), F.round(moon_age(F.col("day")), 4).alias("age"), F.round(moon_lit(F.col("day")), 4).alias("lit"))
 
 
-@query("SELECT item_id, replace(url_encode(substr(text, 1, 60)), '%20', '+') AS q, substr(text, 1, 60) AS back FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
+@query("SELECT item_id, replace(url_encode(text), '%20', '+') AS q, text AS back FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)")
 def report_links(spark, sf_dir):
-    """A form's address with the text filled in, and the text parsed out of it again."""
-    text = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)
+    """A form's address with the whole text filled in, and the text parsed out of it again."""
+    text = F.replace("text", F.lit("\n"), F.lit(" "))
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("https://forms.example.org/r?q="), F.url_encode(text)).alias("url"))
     query_ = F.try_parse_url(F.col("url"), F.lit("QUERY"), F.lit("q"))
     return rows.select("item_id", query_.alias("q"), F.url_decode(query_).alias("back"))
