@@ -103,7 +103,7 @@ def test_near_words(spark):
     cases = [("haemophilus", "hoemophilus", True), ("psittaci", "psittacci", True), ("hypertension", "hypotension", False), ("left", "lift", False), ("acute", "acuta", False), ("12345", "12346", False)]
     df = spark.createDataFrame(cases, "a string, b string, want boolean")
     assert df.where(T.near(F.col("a"), F.col("b")) != F.col("want")).count() == 0
-    assert all(pairing.near(a, b) == want for a, b, want in cases)
+    assert all(pairing.alike(a, b) == want for a, b, want in cases)
 
 
 def test_bounded_edits_equal_full_distance():
@@ -120,7 +120,7 @@ def test_bounded_edits_equal_full_distance():
     for _ in range(300):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 8))) for _ in range(2))
         for most in (1, 2):
-            assert pairing.edits(a, b, most) == (full(a, b) <= most)
+            assert pairing.within(a, b, most) == (full(a, b) <= most)
 
 
 def test_options_pair_in_any_order():
