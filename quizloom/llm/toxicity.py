@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +55,11 @@ def counts(text: str | None) -> Counter[str]:
 def vector(found: Counter[str], number: dict[str, int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers in order and their weights, of length 1; empty if no term has a weight."""
     known = [t for t in found if t in number]
-    if not known:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    at, n = np.array([number[t] for t in known], dtype=np.int64), np.array([found[t] for t in known])
+    return unit(np.array([number[t] for t in known], dtype=np.int64), np.array([found[t] for t in known], dtype=np.int64), weight)
+
+
+def unit(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """vector for term numbers that stand n times each."""
     order = np.argsort(at)
     at, n = at[order], n[order]
     w = (1 + np.log(n)) * weight[at]
@@ -78,14 +81,26 @@ class BlockMaxIndex:
         place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in self.order])
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
         by_term = np.lexsort((place, term))
-        self.places, self.weights = place[by_term].astype(np.int32), weight[by_term]
+        self.terms, self.blocks = terms, blocks
+        self.term, self.places, self.weights = term[by_term].astype(np.int32), place[by_term].astype(np.int32), weight[by_term]
+        self._table()
+
+    def __getstate__(self) -> dict:
+        """Postings only: who receives the index makes its tables anew."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("starts", "highest")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._table()
+
+    def _table(self) -> None:
+        terms, blocks = self.terms, self.blocks
         #: Where the postings of each term begin in each block; the row after a term's last block is the next term's first.
-        cells = term[by_term] * blocks + self.places // BLOCK
+        cells = self.term.astype(np.int64) * blocks + self.places // BLOCK
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(cells, minlength=terms * blocks))]).astype(np.int32)
         self.highest = np.zeros(terms * blocks, dtype=np.float32)
         np.maximum.at(self.highest, cells, np.nextafter(self.weights.astype(np.float32), np.float32(2)))
         self.highest = self.highest.reshape(terms, blocks)
-        self.blocks = blocks
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and similarities of the k nearest examples that share a term with the query, nearest first."""
@@ -114,11 +129,10 @@ class BlockMaxIndex:
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], weight: np.ndarray, ids: list[int], labels: list[int], shares: list[float], found: list[Counter[str]]):
-        """weight: of each term; found: the terms of each example; shares: how many labelled rows an example stands for."""
+    def __init__(self, vocabulary: list[str], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, shares: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        """weight: of each term; vectors: of the examples; shares: how many labelled rows an example stands for."""
         self.vocabulary, self.number, self.weight = vocabulary, {t: i for i, t in enumerate(vocabulary)}, weight
-        self.ids, self.labels, self.shares = np.array(ids, dtype=np.int64), np.array(labels, dtype=float), np.array(shares, dtype=float)
-        vectors = [vector(c, self.number, weight) for c in found]
+        self.ids, self.labels, self.shares = ids, labels.astype(float), shares.astype(float)
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         self.prior = float(((self.labels * self.shares).sum() + 0.5) / (self.shares.sum() + 1.0))
         self.slope, self.shift = 1.0, 0.0
@@ -192,11 +206,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         vocabulary = seen["term"].tolist()
         c1, n = seen["c1"].to_numpy(float), seen["n"].to_numpy(float)
         weight = term_weights(c1, n - c1, n1, n0, size[1][1] / (size[1][1] + size[0][1]))
-    known = F.array_sort(F.arrays_zip("terms", "counts"))
-    rows = examples.select("doc_id", "label", "weight", known.alias("found")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["found"]))
-    found = [Counter({x["terms"]: x["counts"] for x in r["found"]}) for r in rows]
-    return Model(vocabulary, weight, [r["doc_id"] for r in rows], [r["label"] for r in rows], [r["weight"] for r in rows], found)
+    # as columns: the driver makes no object of a term in an example
+    rows = examples.orderBy("doc_id", "terms").toArrow().combine_chunks()
+    held = rows.column("terms").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.string()))
+    codes = pc.fill_null(pc.index_in(held.flatten(), value_set=pa.array(vocabulary, pa.string())), -1).to_numpy()
+    n = rows.column("counts").combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
+    ends = np.cumsum(pc.list_value_length(held).to_numpy()) if rows.num_rows else []
+    vectors = []
+    for begin, end in zip([0, *ends[:-1]], ends):
+        known = codes[begin:end] >= 0
+        vectors.append(unit(codes[begin:end][known].astype(np.int64), n[begin:end][known], weight))
+    return Model(vocabulary, weight, *[rows.column(c).to_numpy() for c in ("doc_id", "label", "weight")], vectors)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
