@@ -106,11 +106,11 @@ def _write_media(rows: DataFrame, path: str, mode: str) -> None:
 def store(docs: DataFrame, path: str) -> DataFrame:
     """Writes the store under path and returns doc_id, n_bytes, media, parts for every row of docs (cut)."""
     named = cut(lists(docs))
-    n = named.count()
     files = cut(named.groupBy("media").agg(F.min("doc_id").alias("owner"), F.first("parts").alias("parts")))
     places = files.select("media", "owner", F.posexplode("parts").alias("at", "part"))
+    n_places = files.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0]
     known = cut(places.groupBy("part").agg(F.count("*").alias("uses"), F.min(F.struct("media", "at")).alias("holder")).where("uses > 1"))
-    shared = look_up(places, known, "part", "uses", ["holder"], n).where("holder IS NOT NULL")
+    shared = look_up(places, known, "part", "uses", ["holder"], n_places).where("holder IS NOT NULL")
     # 1: shared and written by this file; 2: shared and written by another, or at another place of this one
     role = F.when((F.col("holder.media") == F.col("media")) & (F.col("holder.at") == F.col("at")), 1).otherwise(2)
     roles = cut(shared.groupBy("media").agg(F.first("owner").alias("owner"), F.map_from_entries(F.collect_list(F.struct("at", role.alias("role")))).alias("roles")))
