@@ -66,18 +66,6 @@ def segments(lines: DataFrame, doc: str, at: str, kind: str) -> DataFrame:
     return rows.select(doc, number.cast("long").alias("question"), F.col(at).alias("line"), options.cast("long").alias("options"))
 
 
-def relabelled(lines: DataFrame, doc: str, at: str, kind: str) -> DataFrame:
-    """An option before a roman line is a sub-stem, and the nearest stem candidate of the 11 lines before it is a case."""
-    order = Window.partitionBy(doc).orderBy(at)
-    later = F.first_value(F.when(F.col(kind) != "e", F.col(kind)), True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    rows = lines.withColumn("_sub", (F.col(kind) == "o") & later.eqNullSafe("r"))
-    before = F.last_value(F.when(F.col(kind) == "s", F.col(at)), True).over(order.rowsBetween(-11, -1))
-    rows = rows.withColumn("_case_at", F.when(F.col("_sub"), before))
-    cases = rows.where("_case_at IS NOT NULL").select(doc, F.col("_case_at").alias(at), F.lit(True).alias("_case")).distinct()
-    out = rows.join(cases, [doc, at], "left")
-    return out.withColumn(kind, F.when(F.col("_sub"), "u").when(F.col("_case"), "c").otherwise(F.col(kind))).drop("_sub", "_case_at", "_case")
-
-
 def session_type(header: Column) -> Column:
     low = F.lower(F.trim(header))
     out = F.lit("Collected")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quizloom.operators import keyed, lines as L
+from quizloom.operators import keyed, lines as L, segmenter
 from quizloom.plans.registry import query
 from quizloom.session import read_table
 from quizloom.sources import standins as S
@@ -69,11 +69,75 @@ def question_segments(spark, sf_dir):
     return L.segments(lines(spark, sf_dir), "q", "i", "kind")
 
 
-@query(LINES + """, n AS (SELECT *, kind = 'o' AND first_value(CASE WHEN kind <> 'e' THEN kind END IGNORE NULLS) OVER (PARTITION BY q ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) = 'r' AS sub FROM k),
-b AS (SELECT *, CASE WHEN sub THEN last_value(CASE WHEN kind = 's' THEN i END IGNORE NULLS) OVER (PARTITION BY q ORDER BY i ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING) END AS case_at FROM n)
-SELECT q, i, CASE WHEN sub THEN 'u' WHEN EXISTS (SELECT 1 FROM b x WHERE x.q = b.q AND x.case_at = b.i) THEN 'c' ELSE kind END AS kind FROM b""")
+#: Sheets: a customer's order lines in order, with texts of all kinds; paragraphs have six lines.
+SHEET_R = "(part * 7 + i * 5 + q) % 24"
+SHEET_TEXT = """CASE r WHEN 0 THEN '4. Skin diseases' WHEN 1 THEN 'Finals 2019 - 2020' WHEN 2 THEN '' WHEN 3 THEN 'Note: see the slides' WHEN 4 THEN 'Case: a patient of forty' WHEN 5 THEN '2. SCABIES:'
+ WHEN 6 THEN 'A long vignette of a patient who comes to the clinic with a rash' WHEN 7 THEN '[correct answers in green]' WHEN 8 THEN '12. What is the next step?' WHEN 9 THEN '7) Which drug helps' WHEN 10 THEN '3. A 40 year old man has a rash'
+ WHEN 11 THEN '5. Name the parasite' WHEN 12 THEN 'ii. roman' WHEN 13 THEN 'plain words.' ELSE 'b. option' END"""
+SHEET = "WITH RECURSIVE " + S.SQL.rstrip() + f""", s0 AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY q, i) AS n, {SHEET_R} AS r FROM opt JOIN orders ON o_orderkey = q),
+s1 AS (SELECT doc, n, (n - 1) // 6 AS para, r IN (5, 6, 8, 9, 10, 11) AS bold, {SHEET_TEXT} AS text,
+ CASE WHEN r = 0 THEN 'i' WHEN r = 1 THEN 'h' WHEN r = 2 THEN 'e' WHEN r = 3 THEN 'n' WHEN r = 7 THEN 'l' WHEN r IN (5, 8, 9, 10, 11) THEN 's' WHEN r = 12 THEN 'r' WHEN r > 13 THEN 'o' ELSE 't' END AS kind FROM s0),
+s2 AS (SELECT *, kind = 'o' AND coalesce(first_value(CASE WHEN kind <> 'e' THEN kind END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') = 'r' AS sub FROM s1),
+w AS (SELECT doc, 0::BIGINT AS n, []::BIGINT[] AS cases, []::BIGINT[] AS stems FROM (SELECT DISTINCT doc FROM s2)
+ UNION ALL SELECT doc, n, CASE WHEN hit IS NULL THEN cases ELSE list_append(cases, hit) END, CASE WHEN kind = 's' THEN list_append(stems, n) ELSE stems END FROM (
+  SELECT w.doc, x.n, cases, stems, kind, CASE WHEN sub THEN list_max(list_filter(stems, lambda b: b >= x.n - 11 AND (b - 1) // 6 = x.para AND NOT list_contains(cases, b))) END AS hit FROM w JOIN s2 x ON x.doc = w.doc AND x.n = w.n + 1)),
+fin AS (SELECT doc, arg_max(cases, n) AS cases FROM w GROUP BY doc),
+k AS (SELECT doc, n, para, bold, text, CASE WHEN sub THEN 'u' WHEN list_contains(cases, n) THEN 'c' ELSE kind END AS kind FROM s2 JOIN fin USING (doc))"""
+
+
+def sheets(spark, sf_dir):
+    owner = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_custkey").alias("doc"))
+    rows = S.options(spark, sf_dir).join(owner, "q").withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("q", "i")).cast("long")).withColumn("r", F.expr(SHEET_R))
+    rows = rows.select("doc", "n", F.expr("(n - 1) div 6").alias("para"), F.col("r").isin(5, 6, 8, 9, 10, 11).alias("bold"), F.expr(SHEET_TEXT).alias("text"), F.when(F.col("r") == 0, "Title").alias("style"))
+    return rows.withColumn("kind", L.line_kind(F.col("text"), F.col("bold"), F.col("style"))).drop("style")
+
+
+@query(SHEET + " SELECT doc, n, kind FROM k")
 def relabelled_lines(spark, sf_dir):
-    return L.relabelled(lines(spark, sf_dir), "q", "i", "kind").select("q", "i", "kind")
+    return segmenter.relabelled(sheets(spark, sf_dir)).select("doc", "n", "kind")
+
+
+#: The same parts as a walk from line to line that carries all that a line can depend on.
+WALK = SHEET + r""", m AS (SELECT doc, n, row_number() OVER (PARTITION BY doc ORDER BY n) AS n2, kind, bold, trim(text) AS text, CASE WHEN bold THEN upper(kind) ELSE kind END AS mk FROM k WHERE kind <> 'e'),
+a AS (SELECT *, coalesce(string_agg(mk, '') OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rest FROM m),
+b AS (SELECT *, kind = 's' AND regexp_matches(rest, '^[tT]{0,2}[oO]{2}') AS ok, regexp_matches(rest, '^[TS]{0,7}?([sS][tT]{0,2}[oO]{2}|[cCuU])') AS leads FROM a),
+l AS (SELECT doc, n2, n, kind, text, ok, kind IN ('t', 's') AND NOT ok AND leads AND text LIKE 'Case:%' AS pre, kind IN ('t', 's') AND NOT ok AND leads AND bold AND length(text) > 45 AS long,
+ kind IN ('t', 's') AND NOT ok AND leads AND length(text) <= 45 AND text NOT LIKE '%?%' AS short FROM b),
+g AS (SELECT doc, 0::BIGINT AS n2, '' AS act, '' AS mode, 0 AS topic, 0 AS sets, 0 AS q, 0 AS opts, false AS cur, 0 AS lastq, 0 AS cases, 0 AS cid, false AS fresh, false AS comp, '' AS chap, 0 AS owner, 0 AS used, '' AS text, '' AS kind FROM (SELECT DISTINCT doc FROM l)
+ UNION ALL SELECT doc, n2, act,
+  CASE WHEN act IN ('topic', 'set', 'chapter') THEN '' WHEN act IN ('stem', 'sub') THEN 'stem' WHEN act = 'option' THEN 'options' WHEN act IN ('case', 'case+') THEN 'case' WHEN act = 'notes' THEN 'notes' ELSE mode END,
+  topic + CASE WHEN act = 'topic' THEN 1 ELSE 0 END,
+  CASE WHEN act = 'topic' THEN 0 WHEN act = 'set' OR (act = 'stem' AND sets = 0) THEN sets + 1 ELSE sets END,
+  q + CASE WHEN act IN ('stem', 'sub') THEN 1 ELSE 0 END,
+  CASE WHEN act IN ('stem', 'sub') THEN 0 WHEN act = 'option' THEN opts + 1 ELSE opts END,
+  CASE WHEN act IN ('stem', 'sub') THEN true WHEN act IN ('topic', 'set', 'case', 'case+', 'chapter') THEN false ELSE cur END,
+  CASE WHEN act = 'topic' THEN 0 WHEN act IN ('set', 'case', 'case+', 'chapter', 'stem', 'sub') AND cur AND opts >= 2 THEN q ELSE lastq END,
+  cases + CASE WHEN act = 'case' THEN 1 ELSE 0 END,
+  CASE WHEN act IN ('topic', 'set', 'chapter') OR ends THEN 0 WHEN act = 'case' THEN cases + 1 ELSE cid END,
+  CASE WHEN act IN ('case', 'case+') THEN true WHEN act IN ('stem', 'sub') THEN false ELSE fresh END,
+  CASE WHEN act IN ('case', 'case+') THEN kind = 'c' ELSE comp END,
+  CASE WHEN act IN ('topic', 'set') THEN '' WHEN act = 'chapter' THEN CASE WHEN text = '2. SCABIES:' THEN 'Scabies' WHEN text LIKE '__ %' THEN regexp_replace(text, '^[0-9]+[.)] *', '') ELSE regexp_replace(text, '^[0-9]+ *[.)-] *', '') END ELSE chap END,
+  CASE WHEN act = 'notes' AND NOT cur THEN lastq WHEN act IN ('stem', 'sub') THEN q + 1 ELSE q END,
+  CASE WHEN act = 'sub' AND NOT ends THEN cid WHEN act = 'stem' AND NOT ends AND cid > 0 AND (fresh OR regexp_matches(text, '(?i)\b(next step|the patient|her|his|she|he)\b')) THEN cid ELSE 0 END, text, kind
+ FROM (SELECT *, act = 'stem' AND cid > 0 AND NOT fresh AND (comp OR text LIKE '3. A 40 year%') AS ends FROM (
+  SELECT g.doc, l.n2, g.mode, g.topic, g.sets, g.q, g.opts, g.cur, g.lastq, g.cases, g.cid, g.fresh, g.comp, g.chap, l.text, l.kind,
+   CASE WHEN l.kind = 'i' THEN 'topic' WHEN g.topic = 0 THEN '' WHEN l.kind = 'h' THEN 'set'
+    WHEN l.kind = 'c' OR (g.mode <> 'stem' AND (l.pre OR (l.long AND g.mode <> 'notes'))) THEN CASE WHEN g.mode = 'case' THEN 'case+' ELSE 'case' END
+    WHEN l.short AND g.mode IN ('', 'options', 'case') THEN 'chapter' WHEN l.kind = 'l' THEN '' WHEN l.ok THEN 'stem' WHEN l.kind = 'u' THEN 'sub'
+    WHEN l.kind IN ('r', 'o') AND g.cur AND g.mode IN ('stem', 'options') THEN 'option' WHEN l.kind = 't' AND g.cur AND g.mode = 'stem' THEN 'stem+'
+    WHEN l.kind = 'n' THEN CASE WHEN g.cur OR g.lastq > 0 THEN 'notes' ELSE '' END WHEN g.cur AND g.mode IN ('options', 'notes') THEN 'note' ELSE '' END AS act
+  FROM g JOIN l ON l.doc = g.doc AND l.n2 = g.n2 + 1))),
+e AS (SELECT doc, owner, max(CASE WHEN act IN ('stem', 'sub') THEN topic END) AS topic, max(CASE WHEN act IN ('stem', 'sub') THEN sets END) AS set, max(CASE WHEN act IN ('stem', 'sub') AND used > 0 THEN used END) AS "case",
+ max(CASE WHEN act IN ('stem', 'sub') AND chap <> '' THEN chap END) AS chapter, count(*) FILTER (WHERE act = 'option') AS options, count(*) FILTER (WHERE act IN ('notes', 'note')) AS notes,
+ string_agg(CASE act WHEN 'stem' THEN regexp_replace(text, '^[0-9]+[.)] *', '') WHEN 'sub' THEN regexp_replace(text, '^[a-h][.)] *', '') WHEN 'stem+' THEN text END, ' ' ORDER BY n2) AS stem
+ FROM g WHERE act IN ('stem', 'sub', 'stem+', 'option', 'notes', 'note') GROUP BY doc, owner HAVING count(*) FILTER (WHERE act = 'option') >= 2)
+SELECT doc, topic, set, row_number() OVER (PARTITION BY doc ORDER BY owner) AS question, stem, options, notes, "case", chapter FROM e"""
+
+
+@query(WALK)
+def bank_questions(spark, sf_dir):
+    """Sheets cut into topics, sets, questions with their notes, cases and chapters."""
+    return segmenter.questions(segmenter.relabelled(sheets(spark, sf_dir)))
 
 
 HEADERS = ["Finals 2019 - 2020", "mock 2018-2019 heart", "Midterm", "Second session 2020 – 2021", "Questions collected from the professor", "MCQ training 1-40"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions import text as T
-from quizloom.operators import keyed, lines, pairing, ranking, store
+from quizloom.operators import keyed, lines, pairing, ranking, store, segmenter
 from quizloom.operators.graph import connected_components
 from quizloom.operators.scoring import mark20, points
 from quizloom.session import look_up
@@ -145,9 +145,35 @@ def test_line_kinds_and_segments(spark):
     assert rows_of(lines.segments(df, "d", "i", "kind")) == [(1, 1, 1, 2)]
 
 
-def test_relabel_compound_case(spark):
-    df = spark.createDataFrame([(1, i, k) for i, k in enumerate("soerr")], "d int, i int, kind string")
-    assert "".join(r["kind"] for r in lines.relabelled(df, "d", "i", "kind").orderBy("i").collect()) == "cuerr"
+def test_relabel_compound_cases(spark):
+    def kinds(text, paras=None):
+        df = spark.createDataFrame([(1, i, p, k) for i, (k, p) in enumerate(zip(text, paras or "a" * len(text)))], "doc int, n int, para string, kind string")
+        return "".join(r["kind"] for r in segmenter.relabelled(df).orderBy("n").collect())
+
+    assert kinds("soerr") == "cuerr"
+    assert kinds("ssoror") == "ccurur"  # the second sub-stem takes the stem that the first has left
+    assert kinds("soror") == "curur"
+    assert kinds("stor", "aabb") == "stur"  # another paragraph
+    assert kinds("s" + "t" * 10 + "or") == "c" + "t" * 10 + "ur"
+    assert kinds("s" + "t" * 11 + "or") == "s" + "t" * 11 + "ur"
+
+
+def test_parts_follow_the_modes():
+    assert segmenter.parts_of("qoo") == "---"  # nothing counts before a topic
+    assert segmenter.parts_of("Tqxoox") == "TS+oom"
+    assert segmenter.parts_of("TqooNoxk") == "TSooNnnn"
+    assert segmenter.parts_of("TqooHN") == "TSooHM"  # notes of a closed question
+    assert segmenter.parts_of("TqoHN") == "TSoH-"  # one option is no question
+    assert segmenter.parts_of("Tbbqoobq") == "TCcSooCS"
+    assert segmenter.parts_of("TqpookN") == "TS+ooK-"[:6] + "M"
+
+
+def test_questions_of_no_lines_and_nulls(spark):
+    schema = "doc int, n int, para int, text string, bold boolean, kind string, case string"
+    assert segmenter.questions(segmenter.relabelled(spark.createDataFrame([], schema).drop("case"))).count() == 0
+    lines_ = [(1, 0, 0, "Topic", None, "i"), (1, 1, 0, "1. stem", True, "s"), (1, 2, 0, None, None, "o"), (1, 3, 0, "b. y", None, "o"), (1, 4, 0, None, None, "e")]
+    got = segmenter.questions(segmenter.relabelled(spark.createDataFrame(lines_, "doc int, n int, para int, text string, bold boolean, kind string")))
+    assert rows_of(got.select("topic", "set", "question", "stem", "options", "notes", "case", "chapter")) == [(1, 1, 1, "stem", 2, 0, None, None)]
 
 
 def test_deletes_win_only_while_newest(spark):
