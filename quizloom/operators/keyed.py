@@ -34,24 +34,43 @@ def twin_match(left: DataFrame, right: DataFrame, id_: str, stem: str, options:
     return out.select(*left.columns, F.coalesce("_a", "_b").alias("match"))
 
 
-def guarded_update(rows: DataFrame, fixes: DataFrame, key: str, field: str) -> tuple[DataFrame, DataFrame]:
+def guarded_update(rows: DataFrame, fixes: DataFrame, key: str, field: str, also: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """rows with fixes (key, ord, was, becomes) applied in the order of ord, and the fixes whose was did not hold.
 
-    A key's fixes are folded one after another; each applies only if the value is what it expects.
+    A key's fixes are folded one after another; each applies only if the value is what it expects. A fix that applies sets
+    the columns in also, too, to its own values of them, but where those are null.
     """
-    folded = fixes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "was", "becomes"))).alias("_fixes"))
+    folded = fixes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "was", "becomes", *also))).alias("_fixes"))
     joined = rows.join(folded, key, "left")
-    start = F.struct(F.col(field).alias("v"), F.array().cast("array<bigint>").alias("bad"))
+    start = F.struct(F.col(field).alias("v"), F.array().cast("array<bigint>").alias("bad"), *also)
 
     def step(a: Column, f: Column) -> Column:
         holds = a["v"].eqNullSafe(f["was"])
-        return F.struct(F.when(holds, f["becomes"]).otherwise(a["v"]).alias("v"), F.when(holds, a["bad"]).otherwise(F.array_append(a["bad"], f["ord"].cast("bigint"))).alias("bad"))
+        return F.struct(F.when(holds, f["becomes"]).otherwise(a["v"]).alias("v"), F.when(holds, a["bad"]).otherwise(F.array_append(a["bad"], f["ord"].cast("bigint"))).alias("bad"), *[F.when(holds, F.coalesce(f[c], a[c])).otherwise(a[c]).alias(c) for c in also])
 
     done = joined.withColumn("_done", F.aggregate(F.coalesce("_fixes", F.array().cast(folded.schema["_fixes"].dataType)), start, step))
-    out = done.select(*[F.col("_done.v").alias(c) if c == field else F.col(c) for c in rows.columns])
+    out = done.select(*[F.col("_done.v").alias(c) if c == field else F.col(f"_done.{c}") if c in also else F.col(c) for c in rows.columns])
     return out, done.select(key, F.explode("_done.bad").alias("ord"))
 
 
+def checked_label(rows: DataFrame, checked: DataFrame, id_: str, answer: str, label: str, notes: str, suggested: str) -> DataFrame:
+    """rows whose answer is the one in checked (id_, answer) are labelled checked; where a suggestion was checked, its own notes go.
+
+    notes is an array of structs with by. Rows that are not in checked, or whose answer has changed since, stay as they are.
+    """
+    found = rows.join(checked.select(id_, F.col(answer).alias("_checked")), id_, "left")
+    holds = F.coalesce(F.col("_checked") == F.col(answer), F.lit(False))
+    kept = F.when(holds & (F.col(label) == suggested), F.filter(notes, lambda x: ~x["by"].eqNullSafe(F.lit(suggested)))).otherwise(F.col(notes))
+    return found.withColumns({notes: kept, label: F.when(holds, "checked").otherwise(F.col(label))}).drop("_checked")
+
+
+def current_of(rows: DataFrame, keys: list[str], id_: str, due: str, today: Column) -> DataFrame:
+    """For each of keys, the id that is due first of those whose day has not passed, else the one due last."""
+    when = F.struct(due, id_)
+    out = rows.groupBy(*keys).agg(F.min_by(id_, F.when(F.col(due) >= today, when)).alias("_next"), F.max_by(id_, when).alias("_last"))
+    return out.select(*keys, F.coalesce("_next", "_last").alias(id_))
+
+
 def ordinals(rows: DataFrame, base: str, order: list[str], name: str) -> DataFrame:
     """A repeated base id gets -2, -3, ... in order."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))

@@ -52,6 +52,16 @@ def increments(table: DataFrame, changes: DataFrame, key: str, amount: str) -> D
     return table.select(key, amount).unionByName(changes.select(key, amount)).groupBy(key).agg(F.sum(amount).alias(amount))
 
 
+def array_unions(table: DataFrame, changes: DataFrame, key: str, field: str) -> DataFrame:
+    """table (key, array) with the elements of changes (key, array) added that are not there yet; new documents come.
+
+    Elements are brought together one a row, so a key with many changes is combined before the exchange; they come out sorted.
+    """
+    every = table.select(key, field).unionByName(changes.select(key, field))
+    kept = every.select(key, F.explode_outer(field).alias("_x")).distinct()
+    return kept.groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias(field))
+
+
 def claims(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Of rows that claim a name at once, the first of each name; the rest is refused."""
     rest = [c for c in rows.columns if c != name]

@@ -214,6 +214,51 @@ def checked_labels(spark, sf_dir):
     return rows.join(checked, "q", "left").select("q", F.when(F.col("_k") == F.col("status"), "checked").otherwise(F.col("kind")).alias("label"))
 
 
+@query(P + """, f AS (SELECT *, q % 10 = 0 AND status = 'O' AS one FROM question), g AS (SELECT *, CASE WHEN one THEN 'X' ELSE status END AS s1, CASE WHEN one THEN 'first' ELSE kind END AS k1 FROM f)
+SELECT q, CASE WHEN q % 20 = 0 AND s1 = 'X' THEN 'F' ELSE s1 END AS status, CASE WHEN q % 20 = 0 AND s1 = 'X' AND q % 40 = 0 THEN 'second' ELSE k1 END AS kind FROM g""")
+def corrections_with_columns(spark, sf_dir):
+    """A correction that applies sets another column, too; the second one does so only for questions divisible by 40."""
+    rows = S.questions(spark, sf_dir).select("q", "status", "kind")
+    fixes = _fixes(rows).withColumn("kind", F.when(F.col("ord") == 1, "first").when(F.col("q") % 40 == 0, "second"))
+    return keyed.guarded_update(rows, fixes, "q", "status", ["kind"])[0]
+
+
+@query(P + """, n AS (SELECT q, list_sort(list(CASE WHEN part % 3 = 0 THEN 'suggested' ELSE 'user' END || i)) AS notes FROM opt GROUP BY q),
+c AS (SELECT *, CASE WHEN q % 3 = 0 THEN 'suggested' ELSE 'official' END AS key, coalesce(q % 4 < 2 AND status = CASE WHEN q % 2 = 0 THEN 'F' ELSE 'O' END, FALSE) AS holds FROM question JOIN n USING (q))
+SELECT q, CASE WHEN holds THEN 'checked' ELSE key END AS key, array_to_string(CASE WHEN holds AND key = 'suggested' THEN list_filter(notes, lambda x: NOT starts_with(x, 'suggested')) ELSE notes END, ',') AS notes FROM c""")
+def checked_notes(spark, sf_dir):
+    """A checked suggestion loses the notes that argued for it."""
+    by = F.when(F.col("part") % 3 == 0, "suggested").otherwise("user")
+    notes = S.options(spark, sf_dir).groupBy("q").agg(F.array_sort(F.collect_list(F.struct(by.alias("by"), "i"))).alias("notes"))
+    rows = S.questions(spark, sf_dir).select("q", "status", F.when(F.col("q") % 3 == 0, "suggested").otherwise("official").alias("key")).join(notes, "q")
+    checked = rows.where("q % 4 < 2").select("q", F.when(F.col("q") % 2 == 0, "F").otherwise("O").alias("status"))
+    out = keyed.checked_label(rows, checked, "q", "status", "key", "notes", "suggested")
+    return out.select("q", "key", F.array_join(F.array_sort(F.transform("notes", lambda x: F.concat(x["by"], x["i"]))), ",").alias("notes"))
+
+
+@query(P + """, w AS (SELECT module, set_id, CAST(max(added) AS DATE) AS due FROM question GROUP BY ALL)
+SELECT module, coalesce(arg_min(set_id, (due, set_id)) FILTER (WHERE due >= DATE '1998-07-01'), arg_max(set_id, (due, set_id))) AS set_id FROM w GROUP BY module""")
+def current_quest(spark, sf_dir):
+    """A module's set that is due next, else the one that was due last."""
+    rows = S.questions(spark, sf_dir).groupBy("module", "set_id").agg(F.to_date(F.max("added")).alias("due"))
+    return keyed.current_of(rows, ["module"], "set_id", "due", F.lit("1998-07-01").cast("date"))
+
+
+@query(P + """, m AS (SELECT DISTINCT q FROM mark WHERE usr = 5 AND points < 1), s AS (SELECT DISTINCT q FROM attempt WHERE usr = 5 AND kind = 'click'),
+x AS (SELECT question.*, m.q IS NOT NULL AS wrong, s.q IS NOT NULL AS star FROM question LEFT JOIN m ON m.q = question.q LEFT JOIN s ON s.q = question.q)
+SELECT q, 'all' AS mode FROM x UNION ALL SELECT q, 'mistakes' FROM x WHERE wrong UNION ALL SELECT q, 'repeated' FROM x WHERE q % 5 = 0 UNION ALL SELECT q, 'marked' FROM x WHERE star
+UNION ALL SELECT q, 'type' FROM x WHERE kind = '2-HIGH' UNION ALL SELECT q, 'set' FROM x WHERE set_id = 7""")
+def session_mode_members(spark, sf_dir):
+    """The questions of each of a user's six ways to practise."""
+    from quizloom.plans.marks import marked
+
+    wrong = marked(spark, sf_dir).where("usr = 5 AND points < 1").select("q", F.lit(True).alias("wrong")).distinct()
+    star = S.attempts(spark, sf_dir).where("usr = 5 AND kind = 'click'").select("q", F.lit(True).alias("star")).distinct()
+    rows = S.questions(spark, sf_dir).join(wrong, "q", "left").join(star, "q", "left")
+    modes = {"all": F.lit(True), "mistakes": F.col("wrong"), "repeated": F.col("q") % 5 == 0, "marked": F.col("star"), "type": F.col("kind") == "2-HIGH", "set": F.col("set_id") == 7}
+    return rows.select("q", F.explode(F.array_compact(F.array(*[F.when(holds, mode) for mode, holds in modes.items()]))).alias("mode"))
+
+
 @query(P + "SELECT c.q, p.module || ' ' || p.kind AS case_text, p.set_id = c.set_id AS same_source FROM question c JOIN question p ON c.q % 9 = 8 AND p.q = c.q - 1")
 def follow_ups(spark, sf_dir):
     rows = S.questions(spark, sf_dir)

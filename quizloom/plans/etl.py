@@ -223,6 +223,15 @@ def paragraphs(spark, sf_dir):
     return rows.withColumn("p", F.col("p").cast("long"))
 
 
+@query("""WITH s AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS src FROM pages)
+SELECT page_id, min(page_id) OVER (PARTITION BY src) AS stored, 'bank-' || regexp_extract(src, '([^/]*)$', 1) || '.webp' AS name FROM s""")
+def stored_once(spark, sf_dir):
+    """Media that several pages name by one path are stored once, under a name that follows from the path."""
+    rows = read_table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("src"))
+    first = rows.groupBy("src").agg(F.min("page_id").alias("stored"), F.concat(F.lit("bank-"), F.regexp_extract("src", "([^/]*)$", 1), F.lit(".webp")).alias("name"))
+    return rows.join(first, "src").select("page_id", "stored", "name")
+
+
 @query("SELECT page_id, regexp_replace('see ' || url || ' now', '(https?://[^ <>\"]+)', '<a href=\"\\1\">\\1</a>', 'g') AS html FROM pages")
 def linkified(spark, sf_dir):
     text = F.concat(F.lit("see "), "url", F.lit(" now"))

@@ -62,6 +62,14 @@ def incremented(spark, sf_dir):
     return store.increments(base, more, "id", "n")
 
 
+@query("SELECT id, string_agg(x, ',' ORDER BY x) AS tags FROM (SELECT o_custkey AS id, o_orderpriority AS x FROM orders UNION SELECT user_id, event_type FROM events) GROUP BY id")
+def array_unions(spark, sf_dir):
+    """arrayUnion: a customer's order priorities, to which the events of the user of that number add their types."""
+    base = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("tags"))
+    more = S.attempts(spark, sf_dir).select(F.col("usr").alias("id"), F.array("kind").alias("tags"))
+    return store.array_unions(base, more, "id", "tags").withColumn("tags", F.array_join("tags", ","))
+
+
 @query("SELECT name, arg_min(usr, (ts, event_id)) AS owner, count(*) - 1 AS refused FROM (SELECT 'name' || (event_id % 300) AS name, user_id AS usr, ts, event_id FROM events) GROUP BY name")
 def name_claims(spark, sf_dir):
     rows = S.attempts(spark, sf_dir).select(F.concat(F.lit("name"), F.col("event_id") % 300).alias("name"), "usr", "ts", "event_id")

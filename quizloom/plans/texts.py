@@ -194,11 +194,16 @@ def shortened_texts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", T.shortened(F.col("text")).alias("shown"))
 
 
-@query("SELECT lang, sha1(string_agg(sha1(text), '' ORDER BY doc_id)) AS version FROM documents GROUP BY lang")
+#: Ids whose digests are gathered in one step (4 MB of them); their digests are gathered in the next.
+VERSION_RANGE = 100_000
+
+
+@query(f"SELECT lang, sha1(string_agg(d, '' ORDER BY r)) AS version FROM (SELECT lang, doc_id // {VERSION_RANGE} AS r, sha1(string_agg(sha1(text), '' ORDER BY doc_id)) AS d FROM documents GROUP BY ALL) GROUP BY lang")
 def content_versions(spark, sf_dir):
-    """A digest of the digests in order; only digests are gathered."""
-    rows = read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha1(F.col("text").cast("binary")).alias("d")))).alias("_d"))
-    return rows.select("lang", F.sha1(F.array_join(F.transform("_d", lambda x: x["d"]), "").cast("binary")).alias("version"))
+    """A digest of the digests in order, by ranges of ids first, so that no task gathers all of them."""
+    joined = lambda at: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "d"))), lambda x: x["d"]), "").cast("binary"))
+    rows = read_table(spark, sf_dir, "documents").select("lang", "doc_id", F.expr(f"doc_id div {VERSION_RANGE}").alias("r"), F.sha1(F.col("text").cast("binary")).alias("d"))
+    return rows.groupBy("lang", "r").agg(joined("doc_id").alias("d")).groupBy("lang").agg(joined("r").alias("version"))
 
 
 @query("""SELECT usr, string_agg(k || '=' || n, ',' ORDER BY k) AS merged FROM (SELECT user_id AS usr, event_type AS k, count(*) AS n FROM events GROUP BY ALL HAVING event_type <> 'error') GROUP BY usr""")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizloom.session import scratch_path
+
 LATE = "1 hour"
 
 
@@ -79,15 +81,24 @@ def handed_in(exams: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that the stream gives on what is there now, from a memory table (for tests and small results)."""
+    """All that the stream gives on what is there now, from a table in the shared folder.
+
+    In append mode each micro-batch adds files; in complete mode it writes the whole result anew, and the last one counts.
+    """
     spark = stream.sparkSession
-    from quizloom.session import checkpoint_dir
+    place = scratch_path(spark, name)
+    out = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{place}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    numbers = []
 
-    import uuid
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/{number}")
+        numbers.append(number)
 
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/{numbers[-1]}") if numbers else spark.createDataFrame([], stream.schema)
 
 
 def upserting(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

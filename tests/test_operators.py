@@ -184,3 +184,22 @@ def test_deletes_win_only_while_newest(spark):
 def test_long_lists_are_refused(spark):
     with pytest.raises(ValueError):
         store.limit(spark.range(3), 51)
+
+
+def test_a_batch_that_is_sent_again_counts_once(spark, tmp_path):
+    from quizloom.streaming import live
+
+    def batch(*rows):
+        return spark.createDataFrame([*rows], "id int, n long")
+
+    write = live.upserting(str(tmp_path), lambda old, new: store.increments(old, new, "id", "n"))
+    write(batch((1, 1), (2, 5)), 0)
+    write(batch((1, 2), (3, 1)), 1)
+    write(batch((1, 2), (3, 1)), 1)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/1").select("id", "n")) == [(1, 3), (2, 5), (3, 1)]
+
+
+def test_array_unions_keep_empty_documents(spark):
+    old = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "k int, x array<string>")
+    new = spark.createDataFrame([(1, ["b", "c"]), (1, ["c"]), (3, ["z"])], "k int, x array<string>")
+    assert rows_of(store.array_unions(old, new, "k", "x")) == [(1, ["a", "b", "c"]), (2, []), (3, ["z"])]
