@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +39,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_open = threading.local()
+
+
+def _scopes() -> list[set[str]]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ends with the innermost scope."""
+    path = scratch_path(spark, name)
+    if _scopes():
+        _scopes()[-1].add(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, and safe when executors are lost."""
+    """df written as a table in the shared folder and read again: computed once, and safe when executors are lost.
+
+    The table is deleted at the end of the innermost scope, or by release.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, "cut")
+    path = own_path(spark, "cut")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -49,6 +73,40 @@ def release(*tables: DataFrame) -> None:
     """Deletes tables made by cut; nothing that is still to be computed may read them."""
     for df in tables:
         delete_path(df.sparkSession, df._cut_path)
+        for paths in _scopes():
+            paths.discard(df._cut_path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what cut and own_path made inside when it ends, also by an error."""
+    _scopes().append(set())
+    try:
+        yield
+    finally:
+        for path in _scopes().pop():
+            delete_path(spark, path)
+
+
+def scoped(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is one table of the shared folder; all tables that f made on its way are deleted.
+
+    The result's table belongs to the scope around the call, or to the caller where there is none. f's first DataFrame or
+    session among its arguments gives the session.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        first = next(x for x in [*args, *kwargs.values()] if isinstance(x, (DataFrame, SparkSession)))
+        spark = first if isinstance(first, SparkSession) else first.sparkSession
+        with scope(spark):
+            out = cut(f(*args, **kwargs))
+            _scopes()[-1].discard(out._cut_path)
+        if _scopes():
+            _scopes()[-1].add(out._cut_path)
+        return out
+
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
