@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import bpe, centroids, chat, curriculum, exact, media, near, quality, shards, toxicity, urls
+from quizloom.llm import align, bpe, centroids, chat, curriculum, exact, media, near, quality, shards, toxicity, urls, vector_near
 from quizloom.session import read_table
 
 
@@ -93,13 +93,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near.components(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and not name.endswith("_sql")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": near.NEAR_SQL, "op3_curriculum_mix": curriculum.MIX_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql(), "op12_centroids": centroids.cluster_sql()}
+    return {"op1_near_dedup": near.NEAR_SQL, "op3_curriculum_mix": curriculum.MIX_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat": op8_chat_sql(), "op10_url_filter": urls.judge_sql(), "op12_centroids": centroids.cluster_sql(), "op13_embedding_near": vector_near.NEAR_SQL}
