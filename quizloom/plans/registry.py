@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when imported.
-MODULES = ["marks", "bank", "texts", "match", "etl", "store", "live", "checks"]
+MODULES = ["marks", "bank", "texts", "match", "repeats", "etl", "store", "live", "checks"]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
