@@ -4,6 +4,8 @@
    two characters that are no white space. A's pattern never continues over such a place, and B has no piece that does (its
    vocabulary is examined; with another one, or another pre-tokenizer of A, texts stay whole). So a stretch has the same tokens
    wherever it stands, and every task encodes and aligns each distinct stretch once.
+   New stretches are encoded many at a time, as one text whose tokens fall apart at their edges. For stretches of ASCII, whose
+   classes no edition of Unicode changes, A runs on its vocabulary as ranks; its merges are checked to be in that order.
 2. New stretches are aligned in DuckDB, inside the task: tables of token intervals; ASOF joins find tokens that end where one of
    the other side ends; window sums of those cuts number the groups; a range join finds each group's stretch; a join of the
    two sides' groups counts id pairs.
@@ -12,7 +14,7 @@
 4. Counts return to the documents' pairs: the most frequent HEAD pairs by a broadcast join, all others by a shuffled one. A pair
    outside the head stands in few documents, so no key of that join is hot.
 
-A task holds the stretches of at most MEMO_CHUNKS known ones (then it forgets them) and a slice of texts; a text is split and
+A worker holds MEMO_CHUNKS known stretches at most beside a slice's own (then it forgets them) and a slice of texts; a text is split and
 digested as a whole, so the longest one has to fit in a worker. All tables are in the shared folder.
 
 Contract of the cases: texts that are null or empty, or whose tokens of either side do not spell space + text byte by byte,
@@ -46,6 +48,10 @@ PARTIAL_ROWS, PARTIAL_SLICE = 1_000_000, 50_000
 #: Texts are split before a space or line feed that stands alone between characters that no edition of Unicode calls white space.
 _EDGE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2060-\u2064\u2581\ufeff"
 SPLIT = re.compile(rf"(?<=[^{_EDGE}])(?=[ \n][^{_EDGE}])")
+#: Stretches whose edges are such places on either side.
+LOOSE = re.compile(rf"[ \n][^{_EDGE}](?:.*[^{_EDGE}])?", re.S)
+#: Characters of stretches that are encoded together.
+TOGETHER = 1 << 16
 
 ALIGN_SQL = """
 CREATE OR REPLACE TEMP TABLE side_a AS
@@ -55,9 +61,9 @@ CREATE OR REPLACE TEMP TABLE side_b AS
 SELECT i, id, s, e, CAST(coalesce(sum(is_cut) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g
 FROM (SELECT x.*, CAST(y.e IS NOT DISTINCT FROM x.e AS INTEGER) AS is_cut FROM tokens_b x ASOF LEFT JOIN tokens_a y ON x.e >= y.e);
 CREATE OR REPLACE TEMP TABLE grouped AS
-SELECT c.chunk, g.g, g.n_a, h.n_b, g.ids || '|' || h.ids AS ids
-FROM (SELECT g, count(*) AS n_a, min(s) AS s, max(e) AS e, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM side_a GROUP BY g) g
-JOIN (SELECT g, count(*) AS n_b, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM side_b GROUP BY g) h USING (g)
+SELECT c.chunk, g.g, g.n_a, h.n_b
+FROM (SELECT g, count(*) AS n_a, min(s) AS s, max(e) AS e FROM side_a GROUP BY g) g
+JOIN (SELECT g, count(*) AS n_b FROM side_b GROUP BY g) h USING (g)
 JOIN chunks c ON g.s >= c.s AND g.e <= c.e;
 INSERT INTO known_pairs
 SELECT chunk, a, b, CAST(sum(n * m) AS BIGINT) FROM grouped
@@ -65,12 +71,16 @@ JOIN (SELECT g, id AS a, count(*) AS n FROM side_a GROUP BY ALL) USING (g) JOIN
 GROUP BY chunk, a, b;
 """
 CHUNK_SQL = """
-SELECT chunk, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, count(*) AS n_groups, CAST(sum(n_a * n_b) AS BIGINT) AS n_links,
-  string_agg(ids, ';' ORDER BY g) AS ids FROM grouped GROUP BY chunk"""
+SELECT chunk, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, count(*) AS n_groups, CAST(sum(n_a * n_b) AS BIGINT) AS n_links
+FROM grouped GROUP BY chunk"""
 DOC_SQL = """
 SELECT doc, a, b, CAST(sum(n * m) AS BIGINT) AS m FROM uses JOIN known_pairs USING (chunk) GROUP BY doc, a, b ORDER BY doc, a, b"""
 
 
+#: Fixed value: the pattern of byte-level pre-tokenizers, which ids as ranks need in words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -106,20 +116,65 @@ class Tokenizers:
         self.may_split = apart and not crossing
         self.size_a, self.size_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b))
 
+        # after the single bytes, each merge makes the next id: then ids are ranks
+        model = spec["model"]
+        made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+        ranks = {x: i for i, x in enumerate(self.bytes_a) if i < 256 + len(made)}
+        self.ranks = None
+        if self.may_split and made == list(range(256, 256 + len(made))) and sorted(map(len, self.bytes_a[:256])) == [1] * 256 and not model.get("ignore_merges"):
+            import tiktoken
+
+            self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def split(self, text: str) -> list[str]:
         return SPLIT.split(f" {text}") if self.may_split else [f" {text}"]
 
-    def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of either side for stretches, each of which begins with a space or a line feed."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # B adds a space: for the one that a stretch begins with, or as a token of its own before a line feed
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [(x, y if c[0] == " " else y[1:]) for c, x, y in zip(chunks, a, b, strict=True)]
-
-    def spells(self, chunk: str, a: list[int], b: list[int]) -> bool:
-        whole = chunk.encode()
+    def encode(self, texts: list[str], ascii_: bool) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of either side for texts that begin with a space or a line feed."""
+        if ascii_ and self.ranks:
+            a = [self.ranks.encode_ordinary(t) for t in texts]
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B adds a space: for the one that a text begins with, or as a token of its own before a line feed
+        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        return a, [y if t[0] == " " else y[1:] for t, y in zip(texts, b, strict=True)]
+
+    def spells(self, text: str, a: list[int], b: list[int]) -> bool:
+        whole = text.encode()
         return b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
 
+    def encode_all(self, chunks: list[str]) -> tuple[list[str], list[int], list[int], list[str]]:
+        """The stretches that both sides spell, in an order of their own, both sides' ids for all of them one after another, and the other stretches."""
+        loose = [[], []]
+        alone = []
+        for c in chunks:
+            (loose[c.isascii()] if self.may_split and LOOSE.fullmatch(c) else alone).append(c)
+        good, bad, a, b = [], [], [], []
+        for ascii_ in (True, False):
+            parts, size = [[]], 0
+            for c in loose[ascii_]:
+                if size > TOGETHER:
+                    parts.append([])
+                    size = 0
+                parts[-1].append(c)
+                size += len(c)
+            joined = ["".join(p) for p in parts if p]
+            for part, text, x, y in zip(parts, joined, *self.encode(joined, ascii_), strict=False):
+                if self.spells(text, x, y):
+                    good += part
+                    a += x
+                    b += y
+                else:
+                    alone += part
+        for c, x, y in zip(alone, *self.encode(alone, False), strict=True):
+            if self.spells(c, x, y):
+                good.append(c)
+                a += x
+                b += y
+            else:
+                bad.append(c)
+        return good, a, b, bad
+
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
 
@@ -130,6 +185,30 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return _loaded[path_a, path_b]
 
 
+def written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, end_b: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each stretch, which ends at the bytes ends, its groups as a1,a2|b1;a3|b2: every token is a cell of digits and what follows it."""
+    n = len(a) + len(b)
+    at_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
+    at_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+    value = np.empty(n, dtype=np.int64)
+    value[at_a], value[at_b] = a, b
+    width = len(str(int(value.max(initial=0))))
+    cells = np.zeros((n, width + 1), dtype=np.uint8)
+    for k in range(width):
+        power = 10 ** (width - 1 - k)
+        cells[:, k] = np.where((value >= power) | (power == 1), 48 + value // power % 10, 0)
+    last = lambda group: np.append(group[1:] != group[:-1], True)
+    cells[at_a, width] = np.where(last(group_a), ord("|"), ord(","))
+    closing = np.searchsorted(end_b, ends)  # B's last token of each stretch
+    after = np.where(last(group_b), ord(";"), ord(","))
+    after[closing] = 0
+    cells[at_b, width] = after
+    flat = cells.ravel()
+    upto = np.cumsum((cells != 0).sum(axis=1))[at_b[closing]]
+    text = flat[flat != 0].tobytes()
+    return [text[s:e] for s, e in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+
 class Aligner:
     """What one task knows: its stretches, their alignments in DuckDB, and partial counts of pairs."""
 
@@ -138,48 +217,49 @@ class Aligner:
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
-        self.db.execute("CREATE TABLE partial (a INTEGER, b INTEGER, n BIGINT)")
-        self.n_partial = 0
+        self.drop_counts()
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.numbers = np.zeros((0, 5), dtype=np.int64)  # n_a, n_b, n_groups, n_links, spelt
-        self.ids: list[str] = []
+        self.ids: list[bytes] = []
         self.chars = 0
         self.db.execute("CREATE OR REPLACE TABLE known_pairs (chunk BIGINT, a INTEGER, b INTEGER, m BIGINT)")
 
+    def drop_counts(self) -> None:
+        self.db.execute("CREATE OR REPLACE TABLE partial (a INTEGER, b INTEGER, n BIGINT)")
+        self.n_partial = 0
+
     def with_tables(self, **tables: pa.Table) -> None:
         for name, table in tables.items():
             self.db.register(name, table)
 
     def learn(self, chunks: list[str]) -> None:
         """Aligns stretches that are not known yet."""
-        first, encoded = len(self.index), self.both.encode(chunks)
-        self.index |= {c: first + i for i, c in enumerate(chunks)}
+        first = len(self.index)
+        good, a, b, bad = self.both.encode_all(chunks)
+        self.index |= {c: first + i for i, c in enumerate([*good, *bad])}
         self.chars += sum(map(len, chunks))
-        spelt = [self.both.spells(c, a, b) for c, (a, b) in zip(chunks, encoded, strict=True)]
-        good = [i for i, ok in enumerate(spelt) if ok]
-        numbers, ids = np.zeros((len(chunks), 5), dtype=np.int64), [""] * len(chunks)
-        numbers[:, 4] = spelt
+        numbers, ids = np.zeros((len(chunks), 5), dtype=np.int64), [b""] * len(chunks)
         if good:
-            def side(k: int, sizes: np.ndarray) -> pa.Table:
-                flat = np.fromiter((x for i in good for x in encoded[i][k]), dtype=np.int64)
-                ends = np.cumsum(sizes[flat])
-                return pa.table({"i": np.arange(len(flat)), "id": flat.astype(np.int32), "s": ends - sizes[flat], "e": ends})
-
-            ends = np.cumsum([len(chunks[i].encode()) for i in good])
-            starts = np.concatenate([[0], ends[:-1]])
-            known = pa.table({"chunk": np.array(good, dtype=np.int64) + first, "s": starts, "e": ends})
-            self.with_tables(tokens_a=side(0, self.both.size_a), tokens_b=side(1, self.both.size_b), chunks=known)
+            ends = np.cumsum([len(c.encode()) for c in good])
+            known = pa.table({"chunk": np.arange(first, first + len(good)), "s": np.append(0, ends[:-1]), "e": ends})
+            sides = [(np.array(a), self.both.size_a), (np.array(b), self.both.size_b)]
+            tables = []
+            for flat, sizes in sides:
+                at = np.cumsum(sizes[flat])
+                tables.append(pa.table({"i": np.arange(len(flat)), "id": flat.astype(np.int32), "s": at - sizes[flat], "e": at}))
+            self.with_tables(tokens_a=tables[0], tokens_b=tables[1], chunks=known)
             for step in ALIGN_SQL.split(";\n")[:-1]:
                 self.db.execute(step)
             got = self.db.sql(CHUNK_SQL).to_arrow_table()
             at = np.array(got.column("chunk")) - first
             for j, c in enumerate(("n_a", "n_b", "n_groups", "n_links")):
                 numbers[at, j] = np.array(got.column(c))
-            for i, text in zip(at, got.column("ids").to_pylist(), strict=True):
-                ids[i] = text
+            numbers[: len(good), 4] = 1
+            groups = [np.array(self.db.sql(f"SELECT g FROM {side} ORDER BY i").to_arrow_table().column("g")) for side in ("side_a", "side_b")]
+            ids[: len(good)] = written(sides[0][0], sides[1][0], *groups, np.array(tables[1].column("e")), ends)
         self.numbers = np.concatenate([self.numbers, numbers])
         self.ids += ids
 
@@ -198,8 +278,8 @@ class Aligner:
             if not at or not numbers[:, 4].all():
                 rows.append((0, 0, 0, 0, ""))
                 continue
-            text = ";".join([self.ids[i] for i in at])
-            rows.append((*(int(x) for x in numbers[:, :4].sum(axis=0)), hashlib.sha256(text.encode()).hexdigest()))
+            text = b";".join([self.ids[i] for i in at])
+            rows.append((*numbers[:, :4].sum(axis=0).tolist(), hashlib.sha256(text).hexdigest()))
             bag = Counter(at)
             docs += [doc] * len(bag)
             used += bag.keys()
@@ -214,11 +294,22 @@ class Aligner:
     def counted(self) -> pa.Table:
         """The partial counts since the last call."""
         out = self.db.sql("SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM partial GROUP BY a, b").to_arrow_table()
-        self.db.execute("CREATE OR REPLACE TABLE partial (a INTEGER, b INTEGER, n BIGINT)")
-        self.n_partial = 0
+        self.drop_counts()
         return out
 
 
+_aligners: dict[tuple[str, str], Aligner] = {}
+
+
+def own_aligner(path_a: str, path_b: str) -> Aligner:
+    """This worker's aligner, which keeps its stretches from one task to the next; counts of a task that broke off are dropped."""
+    if (path_a, path_b) not in _aligners:
+        _aligners[path_a, path_b] = Aligner(tokenizers(path_a, path_b))
+    out = _aligners[path_a, path_b]
+    out.drop_counts()
+    return out
+
+
 FIELDS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "n"]
 KINDS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>"
 
@@ -239,7 +330,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*nulls, *lists(table, ends, "n")], FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokenizers(path_a, path_b))
+        aligner = own_aligner(path_a, path_b)
         for batch in slices(batches):
             rows, pairs = aligner.align(batch.column("text").to_pylist())
             of_doc = np.bincount(np.array(pairs.column("doc"), dtype=np.int64), minlength=len(rows))
@@ -249,7 +340,6 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             if aligner.n_partial > PARTIAL_ROWS:
                 yield from counts(aligner)
         yield from counts(aligner)
-        aligner.db.close()
 
     return docs.select("doc_id", "text").mapInArrow(run, KINDS)
 

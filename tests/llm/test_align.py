@@ -90,3 +90,28 @@ def test_memory_is_bounded(monkeypatch):
         for r in small.counted().to_pylist():
             counts[r["a"], r["b"]] += r["n"]
     assert again == rows and counts == {(r["a"], r["b"]): r["n"] for r in whole.counted().to_pylist()}
+
+
+def test_ranks_equal_the_library(sf):
+    """On ASCII stretches, ids as ranks give what the library's whole encoding gives."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    both = align.tokenizers(A, B)
+    assert both.ranks is not None and both.may_split
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist() if t]
+    known = sorted({c for t in texts for c in both.split(t) if c.isascii()})
+    r = random.Random(4)
+    known += ["".join(r.choice(" \nabcdeABZ0123'.,-_<|>\t\x00\x1c\x7f") for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    assert len(known) > 5000
+    assert [both.ranks.encode_ordinary(c) for c in known] == [e.ids for e in both.a.encode_batch_fast(known, add_special_tokens=False)]
+
+
+def test_stretches_together_and_apart():
+    both = align.tokenizers(A, B)
+    chunks = list(dict.fromkeys(c for t in ODD if t for c in both.split(t)))
+    good, a, b, bad = both.encode_all(chunks)
+    assert sorted([*good, *bad]) == sorted(chunks)
+    one = [both.encode([c], False) for c in good]
+    assert a == [i for x, _ in one for i in x[0]] and b == [i for _, y in one for i in y[0]]
