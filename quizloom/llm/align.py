@@ -42,16 +42,18 @@ from quizloom.session import cut, scoped
 #: Pairs whose counts are broadcast (a long and a row of three values each).
 HEAD = 500_000
 #: Distinct stretches that a task knows before it forgets them, and their characters.
-MEMO_CHUNKS, MEMO_CHARS = 200_000, 1 << 25
+MEMO_CHUNKS, MEMO_CHARS = 150_000, 1 << 25
 #: Rows of partial counts that a task gathers before it hands them on, and pairs in a row that it hands on.
-PARTIAL_ROWS, PARTIAL_SLICE = 1_000_000, 50_000
+PARTIAL_ROWS, PARTIAL_SLICE = 500_000, 50_000
+#: Bytes of text that are aligned at a time, unless one text alone has more.
+SLICE_BYTES = 1 << 20
 #: Texts are split before a space or line feed that stands alone between characters that no edition of Unicode calls white space.
 _EDGE = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2060-\u2064\u2581\ufeff"
 SPLIT = re.compile(rf"(?<=[^{_EDGE}])(?=[ \n][^{_EDGE}])")
 #: Stretches whose edges are such places on either side.
 LOOSE = re.compile(rf"[ \n][^{_EDGE}](?:.*[^{_EDGE}])?", re.S)
 #: Characters of stretches that are encoded together.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 13
 
 ALIGN_SQL = """
 CREATE OR REPLACE TEMP TABLE side_a AS
@@ -216,7 +218,7 @@ class Aligner:
         self.both = both
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET memory_limit = '256MB'")
         self.drop_counts()
         self.forget()
 
@@ -331,7 +333,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = own_aligner(path_a, path_b)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             rows, pairs = aligner.align(batch.column("text").to_pylist())
             of_doc = np.bincount(np.array(pairs.column("doc"), dtype=np.int64), minlength=len(rows))
             numbers = [pa.array([r[j] for r in rows], pa.int64()) for j in range(4)]
