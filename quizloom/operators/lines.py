@@ -1,6 +1,7 @@
 """Lines of parsed documents: kinds, look-ahead rules and segments, in DataFrame expressions.
 
-A document's kinds are written as one string, a letter a line, so rules about what follows a line are patterns over the rest.
+The kinds of the lines after a line are written as one string, a letter a line, so rules about what follows it are patterns. Windows
+look a fixed number of lines ahead, or run from a document's end, so work is linear in its lines.
 Letters: s stem candidate, o option, t text, e empty, r roman, c case, u sub-stem, h header, n notes, l legend, i title; a
 capital letter is a line that is mostly bold.
 """
@@ -37,13 +38,16 @@ def line_kind(text: Column, bold: Column, style: Column | None = None, numbering
 
 
 def with_rest(lines: DataFrame, doc: str, at: str, kind: str) -> DataFrame:
-    """lines with rest: the kinds of the document's later lines that are not empty (a document's lines are few)."""
-    every = lines.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, kind))), lambda x: x[kind]), "").alias("_kinds"), F.min(at).alias("_first"))
-    joined = lines.join(every, doc)
-    rest = F.replace(F.substring(F.col("_kinds"), F.col(at) - F.col("_first") + 2, F.length("_kinds")), F.lit("e"), F.lit(""))
-    return joined.withColumn("rest", rest).drop("_kinds", "_first")
+    """lines with rest: the kinds of the document's next lines that are not empty, AHEAD of them at least where there are so many."""
+    empty = F.col(kind).eqNullSafe("e")
+    own = Window.partitionBy(doc, "_empty").orderBy(at).rowsBetween(0, AHEAD)
+    later = Window.partitionBy(doc).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumn("_empty", empty).withColumn("_from", F.when(~F.col("_empty"), F.array_join(F.collect_list(kind).over(own), "")))
+    return rows.withColumn("rest", F.coalesce(F.last("_from", ignorenulls=True).over(later), F.lit(""))).drop("_empty", "_from")
 
 
+#: Lines that are not empty and that a rule about later lines can look at: seven bold ones, a stem, two of text, two options.
+AHEAD = 12
 #: A stem needs two options after at most two lines of text.
 IS_STEM = "^[tT]{0,2}[oO]{2}"
 #: A question begins after at most seven bold lines.
@@ -60,9 +64,17 @@ def leads_to_stem(rest: Column) -> Column:
 
 def segments(lines: DataFrame, doc: str, at: str, kind: str) -> DataFrame:
     """doc, question (from 1), first line, number of options of each valid stem with its leading run of options."""
-    rows = with_rest(lines, doc, at, kind).where(valid_stem(F.col(kind), F.col("rest")))
-    options = F.length(F.regexp_extract("rest", "^[tT]{0,2}([oO]+)", 1))
-    number = F.row_number().over(Window.partitionBy(doc).orderBy(at))
+    order = Window.partitionBy(doc).orderBy(at)
+    rows = lines.where(F.col(kind) != "e").withColumns({"_no": F.row_number().over(order), "_option": F.lower(kind) == "o"})
+    # how many options stand in a row from a line on: up to the next line of another kind, or the last line
+    later = Window.partitionBy(doc).orderBy(F.desc(at))
+    other = F.last(F.when(~F.col("_option"), F.col("_no")), ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.coalesce(other, F.first("_no").over(later.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    rows = rows.withColumn("_run", end - F.col("_no"))
+    near = lambda c, n: F.collect_list(c).over(order.rowsBetween(1, n))
+    rows = rows.withColumns({"rest": F.array_join(near(kind, AHEAD), ""), "_runs": near("_run", 3)}).where(valid_stem(F.col(kind), F.col("rest")))
+    options = F.get("_runs", F.length(F.regexp_extract("rest", "^[tT]{0,2}", 0)))
+    number = F.row_number().over(order)
     return rows.select(doc, number.cast("long").alias("question"), F.col(at).alias("line"), options.cast("long").alias("options"))
 
 

@@ -28,8 +28,7 @@ DEPENDENT = (
 SELF_CONTAINED = r"(?i)^\s*(\d{1,3}\s*[.)-]\s*)?(a|an)\s+\d{1,3}[- ]?(y|year)|^\s*(\d{1,3}\s*[.)-]\s*)?(mr|mrs|miss|ms|m)\.?\s+[A-Z]"
 NUMBER = r"^\s*[0-9]{1,3}\s*[.)-]\s*"
 LONG, REACH = 45, 11
-#: Lines that are not empty and that a rule about later lines can look at: seven bold ones, a stem, two of text, two options.
-AHEAD = 12
+
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("doc").orderBy("n")
@@ -41,7 +40,9 @@ def relabelled(lines: DataFrame) -> DataFrame:
     That is one of the REACH lines before it in the same paragraph which no earlier sub-stem has taken. Of a document only stem
     candidates and sub-stems are gathered, and at most REACH candidates are open at a time.
     """
-    later = F.first_value(F.when(F.col("kind") != "e", F.col("kind")), True).over(in_order().rowsBetween(1, Window.unboundedFollowing))
+    # from the document's end, where the frame only grows
+    back = Window.partitionBy("doc").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.last(F.when(F.col("kind") != "e", F.col("kind")), ignorenulls=True).over(back)
     rows = lines.withColumn("_row", F.row_number().over(in_order())).withColumn("_sub", (F.col("kind") == "o") & later.eqNullSafe("r"))
     steps = rows.where("kind = 's' OR _sub").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_row", "para", "_sub"))).alias("_steps"))
 
@@ -64,7 +65,7 @@ def classes(lines: DataFrame) -> DataFrame:
     (begins like a case), b (long and bold), k (short), each before a question, or else x; a stem candidate without options
     is P, B, K or X in the same way.
     """
-    from quizloom.operators.lines import leads_to_stem, valid_stem
+    from quizloom.operators.lines import AHEAD, leads_to_stem, valid_stem
 
     bold, text = F.coalesce("bold", F.lit(False)), F.trim(F.coalesce("text", F.lit("")))
     lines = lines.withColumns({"text": text, "bold": bold})
