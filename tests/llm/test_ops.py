@@ -514,6 +514,26 @@ def test_bpe_on_every_code_point(library):
         assert own.encoded(texts) == want
 
 
+def test_bpe_on_marks_side_by_side(library):
+    """Each mark beside marks of other classes, in both orders, and each composition's halves."""
+    import unicodedata
+
+    own = bpe.WordBpe(open(queries.word_tokenizer(), encoding="utf-8").read())
+    points = [chr(c) for c in range(0x300, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    beside = [chr(c) for c in (0x334, 0x327, 0x323, 0x301, 0x345, 0x94D, 0x5B0, 0x3099, 0x8D1, 0xFE22)]
+    marks = [c for c in points if unicodedata.combining(c)]
+    texts = [t for m in marks for b in beside for t in (m + b, b + m, f"a{b}{m}{b}e", f"e{m}{b}")]
+    for c in map(chr, range(0xC0, 0x110000)):
+        halves = unicodedata.decomposition(c)
+        if halves and not halves.startswith("<"):
+            texts.append("".join(chr(int(x, 16)) for x in halves.split()) + "\u0301")
+    r = random.Random(2)
+    texts += ["".join(r.choice(marks + list("aeio") * 40) for _ in range(r.randint(2, 12))) for _ in range(20000)]
+    for i in range(0, len(texts), 8192):
+        some = texts[i : i + 8192]
+        assert own.encoded(some) == [" ".join(map(str, e.ids)) for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_url_rules(spark):
     cases = [
         ("http://A.Example.ORG/es/1", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
