@@ -25,6 +25,12 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
+def test_names_too_close_sends_no_customers_through_the_driver(spark, sf):
+    """Whatever the size at which joins become broadcasts: the customers and their forms are no small tables."""
+    plan = registry.queries()["names_too_close"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+
+
 def test_names_too_close_compares_all_customers(spark, tmp_path):
     names = ["Anna", "anna", "Ana", "Hanna", "Bob", "Rob", "Robb", "", "x", "xy", "aab", "aba", "abab", "Ann a", "Zoë", "zoe"]
     rows = [(id_, name) for i, name in enumerate(names) for id_ in (i + 1, 395 + 7 * i)] + [(9001, None)]
