@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -40,21 +39,25 @@ KINDS = {"long": int, "double": float, "string": str}
 
 
 class Ordered(StatefulProcessor):
-    """Keeps events until the watermark has passed them, then hands them on in order; a subclass says what they do."""
+    """Keeps events until the watermark has passed them, then hands them on in order; a subclass says what they do.
+
+    Each call to the state store is a message to the JVM, so a key's new events are appended by one, and all that have passed are
+    read, and the machine's state is read and written, by one each.
+    """
 
     #: The event's columns beside the key, event_id and ts: name and kind.
     FIELDS: list[tuple[str, str]] = []
+    #: The machine's state between two calls, and the result's columns.
+    STATE, RESULT = "", ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "event_id long", "us long, " + ", ".join(f"{n} {k}" for n, k in self.FIELDS))
-        self.open(handle)
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+        self.waiting = handle.getListState("waiting", "us long, event_id long, " + ", ".join(f"{n} {k}" for n, k in self.FIELDS))
+        self.kept = handle.getValueState("machine", self.STATE)
+        self.row = Row(*[c.split()[0] for c in self.RESULT.split(", ")])
 
     def take(self, key: tuple, us: int, event_id: int, fields: tuple) -> Iterator[tuple]:
-        """Result rows of one event."""
+        """Result rows of one event; self.now is the machine's state, or None."""
         raise NotImplementedError
 
     def pass_time(self, key: tuple, us: int) -> Iterator[tuple]:
@@ -65,35 +68,48 @@ class Ordered(StatefulProcessor):
         """When the machine moves by itself."""
         raise NotImplementedError
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                self.waiting.updateValue((int(r.event_id),), (int(r.us), *[None if pd.isna(x := getattr(r, n)) else KINDS[k](x) for n, k in self.FIELDS]))
-        yield self.advance(key, timerValues)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        value = lambda x, k: None if x is None or x != x else KINDS[k](x)
+        new = [(int(r.us), int(r.event_id), *[value(r[n], k) for n, k in self.FIELDS]) for r in rows]
+        if not new:
+            return
+        self.waiting.appendList(new)
+        first = min(new)[0]
+        if first > timerValues.getCurrentWatermarkInMs() * 1000:
+            self.handle.registerTimer(-(-first // 1000))
+        else:
+            yield from self.advance(key, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.advance(key, timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.advance(key, timerValues)
 
-    def advance(self, key: tuple, timerValues) -> pd.DataFrame:
+    def advance(self, key: tuple, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((value[0], k[0], tuple(value[1:])) for k, value in self.waiting.iterator())
-        out = []
-        for us, event_id, fields in waiting:
+        # an event that was sent again waits once
+        waiting = sorted({x[1]: tuple(x) for x in self.waiting.get()}.values(), key=lambda x: x[:2])
+        before = self.now = self.kept.get()
+        out, done = [], 0
+        for us, event_id, *fields in waiting:
             if us > passed:
                 break
             out += self.pass_time(key, us)
-            out += self.take(key, us, event_id, fields)
-            self.waiting.removeKey((event_id,))
+            out += self.take(key, us, event_id, tuple(fields))
+            done += 1
         out += self.pass_time(key, passed + 1)
-        later = [us for us, *_ in waiting if us > passed][:1] + [t for t in [self.next_end()] if t is not None]
+        if done == len(waiting):
+            self.waiting.clear()
+        elif done:
+            self.waiting.put(waiting[done:])
+        if self.now is None and before is not None:
+            self.kept.clear()
+        elif self.now != before:
+            self.kept.update(self.now)
+        later = [x[0] for x in waiting[done:][:1]] + [t for t in [self.next_end()] if t is not None]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if later:
             self.handle.registerTimer(-(-min(later) // 1000))
-        return self.frame(out)
+        yield from (self.row(*x) for x in out)
 
     def close(self) -> None:
         pass
@@ -103,78 +119,65 @@ class Exams(Ordered):
     """One exam at a time a user; a start while one runs changes nothing."""
 
     FIELDS = [("kind", "string"), ("q", "long"), ("minutes", "long")]
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.exam = handle.getValueState("exam", "exam long, started long, ends long")
-        self.picks = handle.getMapState("picks", "q long", "n long")
+    STATE, RESULT = "exam long, started long, ends long, picks array<long>", EXAM
 
     def _log(self, key: tuple, handed: int, auto: bool) -> Iterator[tuple]:
-        exam, started, ends = self.exam.get()
-        answered = sum(1 for _ in self.picks.keys())
-        self.exam.clear()
-        self.picks.clear()
-        yield (key[0], exam, started, ends, handed, auto, answered)
+        exam, started, ends, picks = self.now
+        self.now = None
+        yield (key[0], exam, started, ends, handed, auto, len(picks))
 
     def take(self, key: tuple, us: int, event_id: int, fields: tuple) -> Iterator[tuple]:
         kind, q, minutes = fields
-        state = "runs" if self.exam.exists() else "idle"
+        state = "runs" if self.now is not None else "idle"
         to = EXAM_MOVES.get((state, kind))
         if state == "idle" and to == "runs":
-            self.exam.update((event_id, us, us + int(minutes) * 60_000_000))
+            self.now = (event_id, us, us + int(minutes) * 60_000_000, [])
         elif kind == "pick" and to == "runs" and q is not None:
-            self.picks.updateValue((int(q),), (1,))
+            if q not in self.now[3]:
+                self.now = (*self.now[:3], [*self.now[3], q])
         elif to == "idle":
             yield from self._log(key, us, False)
 
     def pass_time(self, key: tuple, us: int) -> Iterator[tuple]:
-        if self.exam.exists() and self.exam.get()[2] < us:
-            yield from self._log(key, self.exam.get()[2], True)
+        if self.now is not None and self.now[2] < us:
+            yield from self._log(key, self.now[2], True)
 
     def next_end(self) -> int | None:
-        return self.exam.get()[2] if self.exam.exists() else None
-
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["usr", "exam", "started", "ends", "handed", "auto", "answered"])
+        return self.now[2] if self.now is not None else None
 
 
 class Duels(Ordered):
     """A duel's state by what its two players do; it expires when it is not decided in time."""
 
     FIELDS = [("kind", "string"), ("usr", "long"), ("other", "long"), ("mark", "double")]
+    STATE, RESULT = "state string, first long, second long, first_mark double, second_mark double, ends long", DUEL
 
     def __init__(self, days: int):
         self.days = days
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.duel = handle.getValueState("duel", "state string, first long, second long, first_mark double, second_mark double, ends long")
-
     def take(self, key: tuple, us: int, event_id: int, fields: tuple) -> Iterator[tuple]:
         kind, usr, other, mark = fields
-        state, first, second, *marks, ends = self.duel.get() if self.duel.exists() else ("none", usr, other, None, None, us + self.days * 86_400_000_000)
+        state, first, second, *marks, ends = self.now if self.now is not None else ("none", usr, other, None, None, us + self.days * 86_400_000_000)
         who = "first" if usr == first else "second" if usr == second else None
         to = DUEL_MOVES.get((state, kind, who))
         if to is None or (state == "none" and (second is None or first == second)):
             return
         if kind == "hand in":
             marks[0 if who == "first" else 1] = float(mark or 0.0)
-        self.duel.update((to, first, second, *marks, ends))
+        self.now = (to, first, second, *marks, ends)
         if to in ENDS:
             winner = None if to == "declined" or marks[0] == marks[1] else first if marks[0] > marks[1] else second
             yield (key[0], to, first, second, winner, us)
 
     def pass_time(self, key: tuple, us: int) -> Iterator[tuple]:
-        if self.duel.exists():
-            state, first, second, _, _, ends = self.duel.get()
+        if self.now is not None:
+            state, first, second, _, _, ends = self.now
             if state not in (*ENDS, "expired") and ends < us:
-                self.duel.update(("expired", first, second, None, None, ends))
+                self.now = ("expired", first, second, None, None, ends)
                 yield (key[0], "expired", first, second, None, ends)
 
     def next_end(self) -> int | None:
-        return self.duel.get()[5] if self.duel.exists() and self.duel.get()[0] not in (*ENDS, "expired") else None
-
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["duel", "state", "first", "second", "winner", "told"])
-        return out.astype({"winner": "Int64"})
+        return self.now[5] if self.now is not None and self.now[0] not in (*ENDS, "expired") else None
 
 
 def with_times(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -184,13 +187,13 @@ def with_times(rows: DataFrame, columns: list[str]) -> DataFrame:
 def exams_stream(events: DataFrame) -> DataFrame:
     """The log of exams (EXAM) of a stream of events: event_id, usr, ts, kind (start, pick, hand in), q, minutes."""
     rows = events.select("event_id", "usr", "ts", F.unix_micros("ts").alias("us"), "kind", "q", "minutes").withWatermark("ts", LATE)
-    return with_times(rows.groupBy("usr").transformWithStateInPandas(Exams(), EXAM, "Append", "EventTime"), ["started", "ends", "handed"])
+    return with_times(rows.groupBy("usr").transformWithState(Exams(), EXAM, "Append", "EventTime"), ["started", "ends", "handed"])
 
 
 def duels_stream(events: DataFrame, days: int = 7) -> DataFrame:
     """The ends of duels (DUEL) of a stream of events: event_id, duel, ts, kind (invite, accept, decline, hand in), usr, other, mark."""
     rows = events.select("event_id", "duel", "ts", F.unix_micros("ts").alias("us"), "kind", "usr", "other", "mark").withWatermark("ts", LATE)
-    return with_times(rows.groupBy("duel").transformWithStateInPandas(Duels(days), DUEL, "Append", "EventTime"), ["told"])
+    return with_times(rows.groupBy("duel").transformWithState(Duels(days), DUEL, "Append", "EventTime"), ["told"])
 
 
 def watermark_of(events: DataFrame) -> DataFrame:

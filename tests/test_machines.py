@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quizloom.streaming import machines
@@ -141,3 +142,44 @@ def test_colours(spark):
     got = machines.colours(spark.createDataFrame(rows, "duel long, state string, first long, second long, winner long, told timestamp"))
     assert sorted(tuple(r) for r in got.collect()) == [(7, 1, t(0), t(3)), (7, 2, t(3), t(5)), (8, 3, t(5), t(12)), (9, 6, t(20), t(27))]
     assert got.where(F.col("until") <= F.col("since")).isEmpty()
+
+
+def test_machines_send_few_messages_to_the_state_store():
+    """A key's new events are one message, and all that have passed are read, taken and put away by one each."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, method):
+            def call(*args):
+                calls.append((self.name, method))
+                if method in ("put", "appendList"):
+                    self.rows = [*(self.rows if method == "appendList" else []), *args[0]]
+                if method == "update":
+                    self.rows = [args[0]]
+                if method == "clear":
+                    self.rows = []
+                if self.name == "machine":
+                    return self.rows[0] if method == "get" and self.rows else None
+                return list(self.rows) if method == "get" else None
+
+            return call
+
+    class Handle:
+        getListState = getValueState = staticmethod(lambda name, schema: State(name))
+        listTimers = staticmethod(lambda: calls.append(("timers", "list")) or [])
+        registerTimer = staticmethod(lambda at: calls.append(("timers", "register")))
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    event = Row("event_id", "us", "kind", "usr", "other", "mark")
+    rows = [event(1, 1_000_000, "invite", 7, 8, None), event(2, 2_000_000, "accept", 8, 7, None)] + [event(i, i * 1_000_000, "hand in", 7 + i % 2, 8 - i % 2, 1.0 * i) for i in range(3, 500)]
+    duels = machines.Duels(3)
+    duels.init(Handle)
+    assert list(duels.handleInputRows((5,), iter(rows + rows[:9]), At(0))) == []
+    assert [tuple(x) for x in duels.handleExpiredTimer((5,), At(10_000_000), None)] == [(5, "decided", 7, 8, 7, 4_000_000)]
+    assert len(calls) < 10
