@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quizloom.operators import keyed, lines as L, segmenter
 from quizloom.plans.registry import query
-from quizloom.session import read_table
+from quizloom.session import read_table, scoped, sized
 from quizloom.sources import standins as S
 
 
@@ -135,6 +135,8 @@ SELECT doc, topic, set, row_number() OVER (PARTITION BY doc ORDER BY owner) AS q
 
 
 @query(WALK)
+@sized("lineitem")
+@scoped
 def bank_questions(spark, sf_dir):
     """Sheets cut into topics, sets, questions with their notes, cases and chapters."""
     return segmenter.questions(segmenter.relabelled(sheets(spark, sf_dir)))

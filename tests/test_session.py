@@ -5,6 +5,8 @@ from urllib.parse import urlparse
 
 import pytest
 
+from quizloom import session
+from quizloom.plans import registry
 from quizloom.session import cut, scope, scoped
 
 
@@ -38,3 +40,15 @@ def test_scoped_keeps_only_the_result(spark):
         inner = twice(spark.range(2))
         assert inner.count() == 4
     assert not there(inner)
+
+
+@pytest.mark.parametrize("name", ["bank_questions"])
+def test_shuffles_have_partitions_by_their_rows(spark, sf, monkeypatch, name):
+    """However large its table, no partition has more rows than it may; the session's number is as it was afterwards."""
+    seen, real = [], session.cut
+    monkeypatch.setattr(session, "ROWS_A_PARTITION", 100)
+    monkeypatch.setattr(session, "cut", lambda df: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or real(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert registry.queries()[name](spark, sf).count() > 0
+    assert set(seen) == {-(-rows // 100)} and spark.conf.get("spark.sql.shuffle.partitions") == before
