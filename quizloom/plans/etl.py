@@ -93,6 +93,8 @@ def sheets(spark, sf_dir):
 
 
 @query(SHEET + " SELECT doc, n, kind FROM k")
+@sized("lineitem")
+@scoped
 def relabelled_lines(spark, sf_dir):
     return segmenter.relabelled(sheets(spark, sf_dir)).select("doc", "n", "kind")
 
