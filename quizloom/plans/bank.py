@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quizloom.operators import keyed, ranking
 from quizloom.operators.graph import connected_components
 from quizloom.plans.registry import query
-from quizloom.session import read_table
+from quizloom.session import read_table, scoped, sized
 from quizloom.sources import standins as S
 
 P = "WITH " + S.SQL
@@ -58,6 +58,8 @@ def canon_sizes(spark, sf_dir):
 
 @query(P + """, c AS (SELECT part, count(DISTINCT set_id) AS s, count(DISTINCT q) AS v, min(q) AS first FROM opt JOIN question USING (q) GROUP BY part)
 SELECT part, s, v, first, row_number() OVER (ORDER BY s DESC, v DESC, first, part) - 1 AS rep FROM c""")
+@sized("lineitem")
+@scoped
 def repeats_ranked(spark, sf_dir):
     rows = S.options(spark, sf_dir).join(S.questions(spark, sf_dir).select("q", "set_id"), "q")
     c = rows.groupBy("part").agg(F.countDistinct("set_id").alias("s"), F.countDistinct("q").alias("v"), F.min("q").alias("first"))
