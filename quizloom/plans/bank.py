@@ -21,6 +21,8 @@ def group_counts(spark, sf_dir):
 
 
 @query(P + "SELECT part, count(DISTINCT set_id) AS sets, count(DISTINCT q) AS versions FROM opt JOIN question USING (q) GROUP BY part HAVING count(DISTINCT set_id) >= 2")
+@sized("lineitem")
+@scoped
 def clusters_spanning_sets(spark, sf_dir):
     rows = S.options(spark, sf_dir).join(S.questions(spark, sf_dir).select("q", "set_id"), "q")
     return rows.groupBy("part").agg(F.countDistinct("set_id").alias("sets"), F.countDistinct("q").alias("versions")).where("sets >= 2")

@@ -42,7 +42,7 @@ def test_scoped_keeps_only_the_result(spark):
     assert not there(inner)
 
 
-@pytest.mark.parametrize("name", ["bank_questions"])
+@pytest.mark.parametrize("name", ["bank_questions", "relabelled_lines", "repeats_ranked", "clusters_spanning_sets"])
 def test_shuffles_have_partitions_by_their_rows(spark, sf, monkeypatch, name):
     """However large its table, no partition has more rows than it may; the session's number is as it was afterwards."""
     seen, real = [], session.cut
