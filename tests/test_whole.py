@@ -5,7 +5,7 @@ import math
 import random
 from collections import Counter
 
-from quizloom.operators import pairing
+from quizloom.operators import graph, pairing
 from quizloom.plans import registry
 from quizloom.plans.match import SYNONYMS
 
@@ -190,3 +190,13 @@ def test_must_know_lists_every_valid_item(spark, tmp_path):
     parts = [(part, 5 if part == 4 else 20) for part in (*asked, 6)]
     got = run(spark, tmp_path, "must_know", lineitem=(lines, LINEITEM), part=(parts, "p_partkey long, p_size int"))
     assert got == [(1, 25, 1), (2, 3, 2), (3, 1, 4), (5, 3, 3)]
+
+
+def test_components_send_each_edge_through_one_round_only(spark, monkeypatch):
+    """Edges within what a round has found are gone, so all look-ups together are about those of the first round."""
+    totals, real = [], graph.look_up
+    monkeypatch.setattr(graph, "look_up", lambda left, groups, key, count, values, total: totals.append(total) or real(left, groups, key, count, values, total))
+    r = random.Random(6)
+    edges = list({(a, b) for a, b in ((r.randrange(80) + 80 * k, r.randrange(80) + 80 * k) for k in range(2) for _ in range(3000)) if a < b})
+    got = graph.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(tuple(x) for x in got.collect()) == components(edges) and sum(totals) < 3 * len(edges)
