@@ -1,9 +1,11 @@
 """Scratch tables end with their scope."""
 
 import os
+import time
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from quizloom import session
 from quizloom.plans import registry
@@ -52,3 +54,16 @@ def test_shuffles_have_partitions_by_their_rows(spark, sf, monkeypatch, name):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert registry.queries()[name](spark, sf).count() > 0
     assert set(seen) == {-(-rows // 100)} and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_table_leaves_no_shuffle_files(spark):
+    """What was shuffled for a table is gone soon after it is written, and the session's setting is as it was."""
+    files = lambda: {x.rsplit("/", 1)[-1] for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    setting, before = spark.conf.get(session.SHUFFLES_DELETED, None), files()
+    held = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert held.columns == ["k", "count"] and spark.conf.get(session.SHUFFLES_DELETED, None) == setting
